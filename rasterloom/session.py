@@ -43,14 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def stored(spark: SparkSession, df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     A lost executor costs a re-read of this table, never a recomputation of
-    what led to it. The path is new on each call; :func:`drop_stored` removes it.
+    what led to it. ``options`` go to the writer. The path is new on each call; :func:`drop_stored` removes it.
     """
     path = f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
