@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, sharding
+from rasterloom.llm import mixing, neardup, packing, planes, sharding
 from rasterloom.llm.sql import ORACLE
 
 
@@ -24,9 +24,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.read_documents(spark, planes.write_ids(spark, _table(spark, sf_dir, "documents")))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_sharding, op3_mixing)
+    for f in (op2_sharding, op3_mixing, op4_packing, op5_token_planes, op7_minhash)
 }
 
 
