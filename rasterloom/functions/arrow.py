@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult  # noqa: F401
+from pyspark.sql import types as T
 
 from rasterloom.functions import container, kernels, pnm
 from rasterloom.session import ship
@@ -160,13 +160,16 @@ def _informed(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_info_row(None if c is None else bytes(c)) for c in content], columns=[*META, "reason"])
 
 
-rl_checksum = F.pandas_udf(_checksums, "long")
-rl_encode = F.pandas_udf(_encoded, "binary")
-rl_decode = F.pandas_udf(_decoded, f"{META_SCHEMA}, pixels binary, reason string")
-rl_info = F.pandas_udf(_informed, f"{META_SCHEMA}, reason string")
+# types as objects: text would need a running session at import
+_META = [T.StructField(n, T.LongType() if n in ("width", "height") else T.IntegerType()) for n in META]
+_REASON = T.StructField("reason", T.StringType())
+rl_checksum = F.pandas_udf(_checksums, T.LongType())
+rl_encode = F.pandas_udf(_encoded, T.BinaryType())
+rl_decode = F.pandas_udf(_decoded, T.StructType([*_META, T.StructField("pixels", T.BinaryType()), _REASON]))
+rl_info = F.pandas_udf(_informed, T.StructType([*_META, _REASON]))
 
 
-@F.udtf(returnType="i long, ch int, v int")
+@F.udtf(returnType=T.StructType([T.StructField("i", T.LongType()), T.StructField("ch", T.IntegerType()), T.StructField("v", T.IntegerType())]))
 class rl_pixels:  # noqa: N801
     """One row for each sample of a container's image: rl_pixels(content)."""
 

@@ -106,7 +106,7 @@ def best_of(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     rows = df.groupBy(*by).agg(x.alias("best_a"), y.alias("best_b"))
     gain = F.when(F.col("best_a") != 0, (F.col("best_a") - F.col("best_b")) / F.col("best_a") * 100)
     fast, slow = F.least("best_a", "best_b"), F.greatest("best_a", "best_b")
-    return rows.select(*by, "best_a", "best_b", F.round(gain, 6).alias("gain_pct"), F.when(F.col("best_b") < F.col("best_a"), "b").otherwise("a").alias("winner"), F.round(F.when(fast != 0, slow / fast), 6).alias("speedup"))
+    return rows.select(*by, "best_a", "best_b", (F.round(gain, 6) + F.lit(0.0)).alias("gain_pct"), F.when(F.col("best_b") < F.col("best_a"), "b").otherwise("a").alias("winner"), F.round(F.when(fast != 0, slow / fast), 6).alias("speedup"))
 
 
 def net_time(t: Column, overhead: Column) -> Column:
@@ -120,20 +120,26 @@ def summary_by_label(df: DataFrame) -> DataFrame:
     )
 
 
+def fixed(x: Column, places: int) -> Column:
+    """Decimal text of a double, rounded from its exact binary value (format_string rounds its shortest decimal)."""
+    return F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
+
+
 def fmt_bytes(n: Column) -> Column:
     """Decimal units: three places for GB, two for MB, one for KB."""
-    return (
-        F.when(n >= 1_000_000_000, F.format_string("%.3f GB", n / 1e9)).when(n >= 1_000_000, F.format_string("%.2f MB", n / 1e6)).when(n >= 1_000, F.format_string("%.1f KB", n / 1e3)).otherwise(F.format_string("%d B", n))
-    )
+    unit = lambda size, places, name: F.concat(fixed(n / size, places), F.lit(name))
+    return F.when(n >= 1_000_000_000, unit(1e9, 3, " GB")).when(n >= 1_000_000, unit(1e6, 2, " MB")).when(n >= 1_000, unit(1e3, 1, " KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def fmt_ms(t: Column) -> Column:
-    return F.format_string("%8.1f ms", t)
+    """Milliseconds to one place, padded to eight characters."""
+    text = fixed(t, 1)
+    return F.concat(F.lpad(text, F.greatest(F.length(text), F.lit(8)), F.lit(" ")), F.lit(" ms"))
 
 
 def pixel_label(identical: Column, max_diff: Column, psnr: Column) -> Column:
     """How two images compare, in words and without colours."""
-    apart = F.concat(F.lit("DIFF  max="), F.coalesce(max_diff.cast("string"), F.lit("None")), F.when(psnr.isNotNull(), F.format_string("  PSNR=%.1f dB", psnr)).otherwise(""))
+    apart = F.concat(F.lit("DIFF  max="), F.coalesce(max_diff.cast("string"), F.lit("None")), F.when(psnr.isNotNull(), F.concat(F.lit("  PSNR="), fixed(psnr, 1), F.lit(" dB"))).otherwise(""))
     return F.when(identical, "IDENTICAL").otherwise(apart)
 
 

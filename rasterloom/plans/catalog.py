@@ -174,7 +174,7 @@ d AS (SELECT config, image_id, i, CASE WHEN config & 2 = 2 THEN (s - coalesce(la
 g AS (SELECT config, image_id, count(*) AS n, list(s::BIGINT ORDER BY i) AS b FROM d GROUP BY config, image_id),
 p AS (SELECT image_id, count(DISTINCT v) + 1 AS pal FROM px GROUP BY image_id),
 c AS ({_lanes('g')})
-SELECT image_id, 1347047472::BIGINT AS magic, 8::BIGINT AS bpp_ext, 1::BIGINT AS channels_ext, n::BIGINT AS width, 1::BIGINT AS height, 8::BIGINT AS bpp_int, 1::BIGINT AS channels_int,
+SELECT image_id, 1348096048::BIGINT AS magic, 8::BIGINT AS bpp_ext, 1::BIGINT AS channels_ext, n::BIGINT AS width, 1::BIGINT AS height, 8::BIGINT AS bpp_int, 1::BIGINT AS channels_int,
   checksum, config::BIGINT AS config, CASE WHEN config & 4 = 4 THEN pal ELSE 0 END::BIGINT AS palette_bytes, (40 + n + CASE WHEN config & 4 = 4 THEN pal ELSE 0 END)::BIGINT AS payload_size
 FROM c JOIN p USING (image_id)""")
 def header_fields(spark, sf_dir):
@@ -416,7 +416,7 @@ def _times(spark, sf_dir):
 
 
 @query(f"""WITH {_TIMES}, b AS (SELECT label, min(compress_ms) AS best_a, min(decompress_ms) AS best_b FROM t GROUP BY label)
-SELECT label, best_a, best_b, round(CASE WHEN best_a <> 0 THEN (best_a - best_b) / best_a * 100 END, 6) AS gain_pct, CASE WHEN best_b < best_a THEN 'b' ELSE 'a' END AS winner,
+SELECT label, best_a, best_b, round(CASE WHEN best_a <> 0 THEN (best_a - best_b) / best_a * 100 END, 6) + 0.0::DOUBLE AS gain_pct, CASE WHEN best_b < best_a THEN 'b' ELSE 'a' END AS winner,
 round(CASE WHEN least(best_a, best_b) <> 0 THEN greatest(best_a, best_b) / least(best_a, best_b) END, 6) AS speedup FROM b""")
 def best_of(spark, sf_dir):
     return co.best_of(_times(spark, sf_dir), ["label"], "compress_ms", "decompress_ms")
