@@ -7,13 +7,14 @@
 2. Band keys held by several classes are buckets; buckets with the same members
    are kept once. A bucket of many members is dealt into blocks, and each pair of
    blocks is a group of bounded size for a task.
-3. In a group, sketches are compared by collision-corrected estimates. A first
-   round lets through a spanning forest of the likely links only. Links are then
+3. In a group, sketches are compared by collision-corrected estimates. The
+   first round lets through a spanning forest of the likely links only. They are
    confirmed on the full sets, and confirmed links make components.
-4. Later rounds look at buckets that still hold several components, and only at
-   pairs between components: first the likeliest few of each document, then all
-   that are left. So every candidate pair is either confirmed, refuted or already
-   inside one component, while a group of copies never becomes all its pairs.
+4. The second round looks at buckets that still hold several components, with the
+   full sets at hand, and at likely pairs between components only: these are
+   confirmed or refuted inside the task, which returns a star for each component
+   it found. So every candidate pair is confirmed, refuted or already inside one
+   component, while a group of copies never becomes all its pairs.
 
 Defined results: a null text or one without words has an empty set, links with
 nothing and is kept; rows that repeat an id belong to one document of that id,
@@ -27,11 +28,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import hyperminhash as hm
-from rasterloom.llm.graph import components
+from rasterloom.llm.graph import components, stars
 from rasterloom.session import drop_stored, ship, stored
 
 #: Links have at least this similarity, in hundredths.
@@ -40,8 +41,8 @@ PERCENT = 80
 MARGIN = 4.0
 #: Members of a block; a group is two blocks.
 BLOCK = 1024
-#: Pairs that a document proposes to each other component: none limited in the last round.
-ROUNDS = (4, 0)
+#: Bytes of full sets in a block, about.
+BLOCK_BYTES = 16 << 20
 #: Candidate ids are broadcast to the scan of the texts up to this many (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -72,58 +73,63 @@ def sketches(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
     return stored(spark, out, "sketches")
 
 
-def buckets(spark: SparkSession, classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """bucket, rep: the members of every bucket of two classes or more, equal buckets once."""
+def buckets(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """bucket, rep, m (its members): every bucket of two classes or more, equal buckets once."""
     keyed = classes.select("rep", F.explode("bands").alias("bucket"))
     shape = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep")).alias("x"))
     once = shape.where("m > 1").groupBy("m", "s", "x").agg(F.min("bucket").alias("bucket"))
     return stored(spark, keyed.join(once.select("bucket", "m"), "bucket"), "buckets")
 
 
-def grouped(members: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """group_id, rep, n, side, comp, registers: each pair of blocks of a bucket is a group, its rows together in a task.
+def grouped(members: DataFrame, details: DataFrame, blocks: Column) -> DataFrame:
+    """group_id, side, and the columns of members and details: each pair of blocks of a bucket is a group, its rows together in a task.
 
     side: 0 in the group's first block, 1 in its second, 2 where the group is one block.
     """
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = members.join(classes.select("rep", F.col("n_shingles").alias("n"), "registers"), "rep").withColumn("blocks", blocks)
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = members.withColumn("blocks", blocks.cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("group_id", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("group_id", "rep", "n", side.cast("int").alias("side"), "comp", "registers")
+    rows = rows.select("group_id", "rep", side.cast("int").alias("side"), "comp").join(details, "rep")
     return rows.repartition("group_id").sortWithinPartitions("group_id")
 
 
-def proposer(percent: int, most: int | None):
-    """The kernel that turns groups into pairs (a, b). most: None for a spanning forest; else pairs to each other component, 0 for all."""
-    import pyarrow as pa
-
-    low = percent / 100 - MARGIN * np.sqrt(percent / 100 * (1 - percent / 100) / hm.REGISTERS)
-
-    def likely(n, side, regs, comp):
-        """i, j, estimate of the pairs that may link."""
-        found = []
-        for i0 in range(0, len(n), 64):
-            i1 = min(len(n), i0 + 64)
-            equal = (regs[i0:i1, None, :] == regs[None, i0 + 1 :, :]).sum(axis=2, dtype=np.int32) if i0 + 1 < len(n) else np.zeros((i1 - i0, 0), np.int32)
-            i, j = np.nonzero(equal >= low * hm.REGISTERS)
-            e = equal[i, j]
-            i, j = i + i0, j + i0 + 1
-            ok = (i < j) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((side[i] != side[j]) | (side[i] == 2))
-            if comp is not None:
-                ok &= comp[i] != comp[j]
-            i, j, e = i[ok], j[ok], e[ok]
-            if len(i):
-                est = hm.corrected(e, n[i], n[j])
-                ok = est >= low
-                found.append((i[ok], j[ok], est[ok]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-
-    def forest(size, i, j, order):
-        root = list(range(size))
+class Group:
+    """Members of one group: rep, side, comp, n, registers, and full sets where they are given."""
+
+    def __init__(self, columns: dict[str, np.ndarray], percent: int, sets: list[np.ndarray] | None = None):
+        self.rep, self.side, self.comp, self.n, self.regs = (columns[c] for c in ("rep", "side", "comp", "n", "registers"))
+        self.percent, self.sets = percent, sets
+        share = percent / 100
+        self.low = share - MARGIN * np.sqrt(share * (1 - share) / hm.REGISTERS)
+
+    def likely(self, i: np.ndarray, j: np.ndarray, equal: np.ndarray, apart: bool) -> tuple[np.ndarray, ...]:
+        """i, j, estimate of those given pairs that may link; apart: only between components."""
+        n, side = self.n, self.side
+        ok = (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * self.percent) & ((side[i] != side[j]) | (side[i] == 2))
+        if apart:
+            ok &= self.comp[i] != self.comp[j]
+        i, j, equal = i[ok], j[ok], equal[ok]
+        estimate = hm.corrected(equal, n[i], n[j]) if len(i) else np.zeros(0)
+        ok = estimate >= self.low
+        return i[ok], j[ok], estimate[ok]
+
+    def all_likely(self, apart: bool) -> tuple[np.ndarray, ...]:
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for i0 in range(0, len(self.n) - 1, 64):
+            equal = (self.regs[i0 : i0 + 64, None, :] == self.regs[None, i0 + 1 :, :]).sum(axis=2, dtype=np.int32)
+            i, j = np.nonzero(equal >= self.low * hm.REGISTERS)
+            ahead = j >= i
+            i, j = i[ahead], j[ahead]
+            found.append(self.likely(i + i0, j + i0 + 1, equal[i, j], apart))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the likely links, the likeliest first."""
+        i, j, estimate = self.all_likely(False)
+        root = list(range(len(self.n)))
         kept = []
-        for k in order.tolist():
+        for k in np.argsort(-estimate, kind="stable").tolist():
             x, y = int(i[k]), int(j[k])
             while root[x] != x:
                 root[x] = x = root[root[x]]
@@ -132,70 +138,83 @@ def proposer(percent: int, most: int | None):
             if x != y:
                 root[y] = x
                 kept.append(k)
-                if len(kept) == size - 1:
+                if len(kept) == len(root) - 1:
                     break
-        return np.array(kept, int)
-
-    def few(i, j, order, comp):
-        """Each document's ``most`` likeliest pairs to each other component."""
+        return self.rep[i[kept]], self.rep[j[kept]]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Stars of the components that exact links between earlier components make."""
+        i, j, _ = self.all_likely(True)
+        if not len(i):
+            return self.rep[:0], self.rep[:0]
+        m = len(self.n)
+        size = np.array([len(s) for s in self.sets])
+        # a document of a rarer component looks its shingles up for all its partners at once
+        weight = np.bincount(np.unique(self.comp, return_inverse=True)[1])[np.unique(self.comp, return_inverse=True)[1]]
+        swap = weight[i] > weight[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        number, term = np.unique(np.concatenate(self.sets), return_inverse=True)
+        owner = np.repeat(np.arange(m), size)[np.argsort(term, kind="stable")]
+        ends = np.cumsum(np.bincount(term, minlength=len(number)))
+        many = np.diff(ends, prepend=0)
+        first = np.cumsum(size) - size
+        order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        kept = np.zeros(len(order), bool)
-        for a, b in ((i, j), (j, i)):
-            by = np.lexsort((np.arange(len(a)), comp[b], a))
-            new = np.append(True, (np.diff(a[by]) != 0) | (np.diff(comp[b][by]) != 0))
-            rank = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-            kept[by[rank < most]] = True
-        return order[kept]
-
-    def pairs(rep, n, side, comp, regs):
-        i, j, est = likely(n, side, regs, comp if most is not None else None)
-        if most is None and len(i) > 1:
-            k = forest(len(n), i, j, np.argsort(-est, kind="stable"))
-        elif most and len(i):
-            k = few(i, j, np.argsort(-est, kind="stable"), comp)
-        else:
-            k = np.arange(len(i))
-        return rep[i[k]], rep[j[k]]
-
-    def as_arrays(batch):
-        regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, hm.REGISTERS)
-        return [batch.column(c).to_numpy(zero_copy_only=False) for c in ("group_id", "rep", "n", "side", "comp")] + [regs]
+        good = np.zeros(len(i), bool)
+        edge = np.append(np.flatnonzero(np.append(True, np.diff(i) != 0)), len(i))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            x = i[a]
+            t = term[first[x] : first[x] + size[x]]
+            long = many[t]
+            places = np.repeat(ends[t] - np.cumsum(long), long) + np.arange(long.sum())
+            both = np.bincount(owner[places], minlength=m)[j[a:b]]
+            good[a:b] = 100 * both >= self.percent * (size[x] + size[j[a:b]] - both)
+        label = stars(m, i[good], j[good])
+        joined = np.flatnonzero(label != np.arange(m))
+        return self.rep[joined], self.rep[label[joined]]
+
+
+def _pairs(a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def by_group(percent: int, full: bool):
+    """The kernel over :func:`grouped` rows: forests of likely links, or with full sets the exact stars."""
+    import pyarrow as pa
+
+    def arrays(table: pa.Table) -> dict[str, np.ndarray]:
+        out = {c: table.column(c).to_numpy() for c in ("group_id", "rep", "side", "comp", "n")}
+        out["registers"] = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, hm.REGISTERS)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = as_arrays(batch)
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            start = int(np.flatnonzero(held[0] == held[0][-1])[0]) if held[0][0] != held[0][-1] else 0
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            ids = held.column("group_id").to_numpy()
+            start = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0  # sorted: the last group may go on
             if start:
-                yield from work([x[:start] for x in held])
-                held = [x[start:] for x in held]
-        if held is not None:
+                yield from work(held.slice(0, start))
+                held = held.slice(start).combine_chunks()
+        if held is not None and held.num_rows:
             yield from work(held)
 
-    def work(rows):
-        edge = np.append(np.flatnonzero(np.append(True, np.diff(rows[0]) != 0)), len(rows[0]))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        two = edge[:-1][np.diff(edge) == 2]  # most groups: compared all at once
-        if len(two):
-            _, rep, n, side, comp, regs = rows
-            x, y = two, two + 1
-            ok = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & ((side[x] != side[y]) | (side[x] == 2))
-            if most is not None:
-                ok &= comp[x] != comp[y]
-            x, y = x[ok], y[ok]
-            ok = hm.corrected((regs[x] == regs[y]).sum(axis=1), n[x], n[y]) >= low
-            out_a.append(rep[x[ok]])
-            out_b.append(rep[y[ok]])
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = arrays(table)
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()] if full else None
+        edge = np.append(np.flatnonzero(np.append(True, np.diff(columns["group_id"]) != 0)), table.num_rows)
+        if not full:
+            x = edge[:-1][np.diff(edge) == 2]  # most groups: compared all at once
+            g = Group(columns, percent)
+            i, j, _ = g.likely(x, x + 1, (g.regs[x] == g.regs[x + 1]).sum(axis=1), False)
+            yield _pairs(g.rep[i], g.rep[j])
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if e - s > 2:
-                a, b = pairs(*[r[s:e] for r in rows[1:]])
-                out_a.append(a)
-                out_b.append(b)
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            if e - s > (1 if full else 2):
+                g = Group({c: v[s:e] for c, v in columns.items()}, percent, sets[s:e] if full else None)
+                yield _pairs(*(g.links() if full else g.forest()))
 
     return run
 
@@ -210,8 +229,7 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, id_col: str,
                 batch = whole.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([hm.shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())], ["rep", "shingles"])
 
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _small(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(ids, "rep", "left_semi")
     return stored(spark, rows.mapInArrow(run, "rep long, shingles binary"), "full-sets")
 
@@ -242,27 +260,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
     one = F.min(F.struct("doc_id", "n_shingles", "registers", "bands")).alias("c")
     classes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(one).select("digest", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.registers", "c.bands")
     classes = stored(spark, classes, "classes")
-    members = buckets(spark, classes, block)
+    members = buckets(spark, classes)
+    sketch = classes.select("rep", F.col("n_shingles").alias("n"), "registers")
     alone = members.withColumn("comp", F.col("rep"))
-    pairs = stored(spark, grouped(alone, classes, block).mapInArrow(proposer(percent, None), "a long, b long").distinct(), "pairs")
+    pairs = stored(spark, grouped(alone, sketch, F.ceil(F.col("m") / block)).mapInArrow(by_group(percent, False), "a long, b long").distinct(), "pairs")
+    # a document without any likely pair is in no set, and its buckets need no second look
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = full_sets(spark, docs, ids, id_col, text_col, words)
     links = stored(spark, verified(pairs, sets, percent), "links")
-    stars = components(spark, links)
-    for most in ROUNDS:
-        # a document without any likely pair is in no set, and its buckets need no second look
-        open_members = members.join(ids, "rep", "left_semi").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-        mixed = open_members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("left")).where("lo <> hi")
-        rows = open_members.drop("m").join(mixed.select("bucket", F.col("left").alias("m")), "bucket")
-        more = stored(spark, grouped(rows, classes, block).mapInArrow(proposer(percent, most), "a long, b long").distinct(), "pairs")
-        new = stored(spark, verified(more, sets, percent), "links")
-        drop_stored(spark, more)
-        if new.isEmpty():
-            continue
-        stars = components(spark, stars.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
-    for done in (members, pairs, sets, links):
+    now = components(spark, links)
+    left = members.join(ids.join(sketch.select("rep", "n"), "rep"), "rep").join(now.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
+    shape = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("lo <> hi")
+    rows = left.select("bucket", "rep", "comp").join(shape, "bucket")
+    parts = F.ceil(F.greatest(F.col("k") / block, F.col("shingles") * 8 / BLOCK_BYTES))
+    more = stored(spark, grouped(rows, sketch.join(sets, "rep"), parts).mapInArrow(by_group(percent, True), "a long, b long").distinct(), "links")
+    stars_now = components(spark, now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(more)) if not more.isEmpty() else now
+    for done in (members, pairs, sets, links, more):
         drop_stored(spark, done)
-    roots = classes.select("digest", "rep").join(stars.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    roots = classes.select("digest", "rep").join(stars_now.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     rows = marks.select("doc_id", "n_shingles", "digest")
     out = rows.where("digest is not null").join(roots, "digest", "left").select("doc_id", "n_shingles", "root")
     out = out.unionAll(rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))
@@ -271,7 +286,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component; of rows that repeat an id with the same class, one."""
-    found = near_duplicates(spark, docs, id_col=id_col, **options)
-    dropped = found.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs[id_col] == dropped["doc_id"], "left_anti")
+    """The rows of ``docs`` whose document is the least of its component; of rows that repeat a kept id, one."""
+    found = stored(spark, near_duplicates(spark, docs, id_col=id_col, **options).where("doc_id is not null"), "near-verdicts")
+    without = lambda rows, ids, how: rows.join(ids.select(F.col("doc_id").alias("_n_id")), F.col(id_col) == F.col("_n_id"), how)
+    dropped = _small(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
+    rest = without(docs, dropped, "left_anti")
+    repeated = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rest
+    repeated = _small(repeated)
+    return without(rest, repeated, "left_anti").unionAll(without(rest, repeated, "left_semi").dropDuplicates([id_col]))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Broadcast within the bound, else left to a sort-merge join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
