@@ -4,8 +4,8 @@ Categories are predicted one after another by linear models over hashed features
 a later model also takes the logits of the earlier categories. It must learn from
 such predictions as it will meet, so in training these are out-of-fold: each
 labelled document's logit comes from a model that has seen neither it nor a copy of
-it (folds go by the text). A category's cutoff is the least from 0.5 on at which
-out-of-fold false alarms stay within :data:`FALSE_ALARMS`.
+it (folds go by the text). A category's cutoff is the least inside
+:data:`CUTOFFS` at which out-of-fold false alarms stay within :data:`FALSE_ALARMS`.
 
 Training uses a bounded sample of labelled rows, :data:`SAMPLE`, taken by a hash of
 the id; scoring is one pass over all whole texts and shuffles nothing.
@@ -32,7 +32,8 @@ from rasterloom.session import ship
 #: Labelled rows that training takes, at most.
 SAMPLE = 12_000
 FOLDS = 4
-FALSE_ALARMS = 0.0005
+FALSE_ALARMS = 0.001
+CUTOFFS = (0.2, 0.6)
 #: Chain over the labels table: name, label column, value that is the category.
 CHAIN = (("poor", "quality", 0), ("toxic", "toxic", 1))
 
@@ -61,7 +62,8 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, name
             held[test] = [m.logit(rows[i].tolist()) for i in test] + before[test] @ m.dense
         models.append(linear.fit(rows, y, before))
         clean = np.sort(linear.sigmoid(held[y == 0]))
-        cutoffs.append(max(0.5, float(clean[min(len(clean) - 1, int(np.ceil((1 - FALSE_ALARMS) * len(clean))))])) if len(clean) and y.any() else 2.0)
+        alarm = float(clean[min(len(clean) - 1, int((1 - FALSE_ALARMS) * len(clean)))]) if len(clean) else 1.0
+        cutoffs.append(float(np.clip(1.1 * alarm, *CUTOFFS)) if len(clean) and y.any() else 2.0)
         before = np.column_stack([before, np.clip(held, -8, 8)])
     return Chain(names, models, cutoffs)
 

@@ -32,6 +32,7 @@ SAMPLE = 12_000
 GOOD, BAD, NONE = 1, 2, 0
 SYMBOLS = "#*$%&|<>"
 _SYMBOL_TABLE = dict.fromkeys(map(ord, SYMBOLS))
+_ODD_TABLE = dict.fromkeys(map(ord, SYMBOLS + "!0123456789"))
 #: Rounds of expectation maximisation; it stops before when nothing moves.
 ROUNDS = 200
 #: A text is kept from this probability of being good on.
@@ -39,31 +40,43 @@ CUTOFF = 0.5
 
 
 def votes(text: str | None) -> tuple[int, ...]:
-    """Each heuristic's vote on a text, in the order of :data:`NAMES`."""
+    """Each heuristic's vote on a text, in the order of :data:`NAMES`.
+
+    Six look for one defect each and are silent without it; three judge the text
+    as a whole and may call it good.
+    """
     text = text or ""
     words = text.split()
     n = len(words)
     if not n:
-        return (NONE,) * 5 + (BAD, NONE)
+        return (NONE,) * 8 + (BAD,)
     lines = [x for x in text.split("\n") if x.strip()]
     repeats = len(lines) - len(set(lines))
     symbols = (len(text) - len(text.translate(_SYMBOL_TABLE))) / n
+    odd = (len(text) - len(text.translate(_ODD_TABLE))) / len(text)
+    marks = sum([not w[-1].isalnum() and not w[-2:-1].isalnum() for w in words]) / n
     capitals = sum(map(str.isupper, words)) / n
     shouts = text.count("!") / n
     stutter = sum(map(str.__eq__, words, words[1:])) / n
-    vote = lambda bad, good: BAD if bad else GOOD if good else NONE
+    different = len(set(words)) / n**0.9
+    stops = (text.count(".") + text.count("?")) / n
+    vote = lambda bad, good=False: BAD if bad else GOOD if good else NONE
     return (
-        vote(symbols > 0.3, symbols < 0.03),
-        vote(capitals > 0.4, capitals < 0.1),
-        vote(shouts > 0.3, shouts < 0.05),
-        vote(stutter > 0.3, stutter < 0.05 and n >= 5),
-        vote(len(lines) >= 4 and repeats > 0.5 * len(lines), len(lines) >= 3 and not repeats),
-        vote(n < 4, n >= 20),
-        vote(n >= 30 and len(set(words)) < 0.3 * n ** 0.9, n >= 30 and len(set(words)) > 0.4 * n ** 0.9),
+        vote(symbols > 0.3),
+        vote(marks > 0.3),
+        vote(capitals > 0.4),
+        vote(shouts > 0.3),
+        vote(stutter > 0.3),
+        vote(len(lines) >= 4 and repeats > 0.6 * len(lines)),
+        vote(odd > 0.3, odd < 0.03),
+        vote(n >= 40 and stutter > 0.15, stutter < 0.08 and different > 0.4),
+        vote(n < 2, capitals < 0.2 and 0.01 < stops < 0.5 and n >= 5),
     )
 
 
-NAMES = ("symbols", "capitals", "shouts", "stutter", "repeated_lines", "length", "variety")
+NAMES = ("symbols", "marks", "capitals", "shouts", "stutter", "repeated_lines", "plain_characters", "variety", "sentences")
+#: The first of these look for a defect each.
+DETECTORS = 6
 
 
 def code_of(v: tuple[int, ...]) -> int:
@@ -75,37 +88,47 @@ def votes_of(code: int) -> list[int]:
 
 
 class LabelModel:
-    """Shares of good and bad texts and, for each heuristic and class, the odds of its three votes."""
+    """Share of good texts; for each class and heuristic, how often it finds its defect, or how often its vote says good.
+
+    A detector's silence is an outcome, a judge's silence says nothing.
+    """
 
-    def __init__(self, prior: float, odds: np.ndarray):
-        self.prior, self.odds = prior, odds
+    def __init__(self, prior: float, finds: np.ndarray, says_good: np.ndarray):
+        self.prior, self.finds, self.says_good = prior, finds, says_good
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability of good for rows of votes."""
-        each = np.log(np.array([1 - self.prior, self.prior]))[:, None] + sum(np.log(self.odds[:, k, patterns[:, k]]) for k in range(patterns.shape[1]))
-        return linear.sigmoid(each[1] - each[0])
+        found, judged = patterns[:, :DETECTORS] == BAD, patterns[:, DETECTORS:]
+        odds = np.full(len(patterns), np.log(self.prior / (1 - self.prior)))
+        odds += np.where(found, np.log(self.finds[1] / self.finds[0]), np.log((1 - self.finds[1]) / (1 - self.finds[0]))).sum(axis=1)
+        bad, good = self.says_good
+        odds += np.where(judged == GOOD, np.log(good / bad), np.where(judged == BAD, np.log((1 - good) / (1 - bad)), 0.0)).sum(axis=1)
+        return linear.sigmoid(odds)
 
     def accuracies(self) -> dict[str, float]:
         """For each heuristic: how often it is right when it votes."""
         share = np.array([1 - self.prior, self.prior])
-        right = share[0] * self.odds[0, :, BAD] + share[1] * self.odds[1, :, GOOD]
-        wrong = share[0] * self.odds[0, :, GOOD] + share[1] * self.odds[1, :, BAD]
-        return dict(zip(NAMES, (right / (right + wrong)).tolist(), strict=False))
+        detectors = share[0] * self.finds[0] / (share @ self.finds)
+        judges = share[0] * (1 - self.says_good[0]) + share[1] * self.says_good[1]
+        return dict(zip(NAMES, [*detectors.tolist(), *judges.tolist()], strict=True))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
-    """From vote patterns and how many texts show them; starts from the majority vote."""
-    good, bad = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
-    q = np.where(bad >= 1, 0.2, 0.9) if not (good > bad).all() else np.full(len(good), 0.9)
-    q = np.where(bad > good, 0.05, q)
+    """From vote patterns and how many texts show them; it starts from a text being bad as soon as one heuristic says so."""
+    q = np.where((patterns == BAD).any(axis=1), 0.1, 0.95)
+    found, judged = patterns[:, :DETECTORS] == BAD, patterns[:, DETECTORS:]
     for _ in range(ROUNDS):
         weight = np.stack([counts * (1 - q), counts * q])
-        odds = np.stack([np.stack([weight @ (patterns[:, k] == v) for v in range(3)], axis=1) for k in range(patterns.shape[1])], axis=1)
-        model = LabelModel(float(np.clip(weight[1].sum() / max(1, counts.sum()), 1e-3, 1 - 1e-3)), (odds + 1) / (odds.sum(axis=2, keepdims=True) + 3))
+        total = weight.sum(axis=1, keepdims=True)
+        finds = (weight @ found + 0.1) / (total + 10.0)
+        g, b = weight @ (judged == GOOD), weight @ (judged == BAD)
+        prior = float(np.clip((total[1, 0] + 1) / (counts.sum() + 2), 1e-3, 1 - 1e-3))
+        model = LabelModel(prior, np.clip(finds, 1e-4, 1 - 1e-4), np.clip((g + 1) / (g + b + 2), 1e-3, 1 - 1e-3))
         new = model.posterior(patterns)
-        if np.abs(new - q).max(initial=0) < 1e-6:
-            break
+        done = np.abs(new - q).max(initial=0) < 1e-6
         q = new
+        if done:
+            break
     return model
 
 
@@ -121,7 +144,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     coded = stored(spark, rows.mapInArrow(run, "doc_id long, code int"), "votes")
-    table = sorted(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3 ** 7 rows
+    table = sorted(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3 ** 9 rows
     patterns = np.array([votes_of(r.code) for r in table], int).reshape(-1, len(NAMES))
     model = expectation_maximisation(patterns, np.array([r.n for r in table], float))
     good = model.posterior(patterns) if len(table) else np.zeros(0)
