@@ -2,9 +2,9 @@
 
 The vocabulary's pre-tokenizer never joins text across white space, so the ids of
 a text are the ids of its white-space separated chunks, one after another. Each
-worker keeps a bounded dictionary from chunk to packed ids; the chunks of an Arrow
-batch that it lacks are encoded together. A chunk that is a run of letters and a
-comma or full stop splits further, which the pre-tokenizer does as well.
+worker keeps a bounded dictionary from chunk to packed ids. A chunk that is a run
+of letters and a comma or full stop splits further, which the pre-tokenizer does as
+well.
 
 :func:`check_splitting` proves from the vocabulary file that these two rules hold;
 for any other file every text is encoded in one piece.
@@ -20,8 +20,8 @@ import numpy as np
 
 #: Closes every document.
 END_ID = 1
-#: Chunks that a worker remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 300_000
+#: Chunks that a worker remembers; twice at most.
+CACHE_CHUNKS = 150_000
 #: Characters that ``str.split`` takes for white space and Unicode does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _TAIL = ".,"
@@ -48,8 +48,24 @@ def check_splitting(path: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and no_gap and last and bare and spec["post_processor"] is None
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder(dict):
-    """chunk -> ids as little-endian unsigned 32-bit bytes."""
+    """chunk -> ids as little-endian unsigned 32-bit bytes.
+
+    A word of Latin-1 letters goes straight to the library's BPE model, which is
+    what its normalizer and pre-tokenizer would hand over; any other chunk goes
+    through the whole tokenizer. When the memory is full it becomes the older of
+    two generations, so frequent chunks survive.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
@@ -58,43 +74,60 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = check_splitting(path)
         self.limit = limit
-        self.end = np.array([END_ID], "<u4").tobytes()
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        stems: dict[str, None] = {}
-        split: list[tuple[str, str, str]] = []
-        for c in chunks:
-            stem, tail = (c[:-1], c[-1]) if c[-1] in _TAIL and c[:-1].isalpha() else (c, "")
-            if stem.isascii() and stem.isalpha():
-                stem = stem.lower()
-            if stem not in self:
-                stems[stem] = None
-            if tail and tail not in self:
-                stems[tail] = None
-            if tail or stem != c:
-                split.append((c, stem, tail))
-        todo = list(stems)
-        self.update(zip(todo, self._direct(todo), strict=True))
-        for c, stem, tail in split:
-            self[c] = self[stem] + (self[tail] if tail else b"")
+        self.older: dict[str, bytes] = {}
+        self.end = _packed([END_ID])
+        self._bpe = self.tokenizer.model.tokenize
+
+    def _direct(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self._encoded(chunk)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+    def _encoded(self, chunk: str) -> bytes:
+        if chunk[-1] in _TAIL and chunk[:-1].isalpha() and chunk[:-1].lower().isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        if chunk.isalpha() and _latin(chunk):
+            low = chunk.lower()
+            if low != chunk:
+                return self[low]
+            return _packed([t.id for t in self._bpe(chunk if chunk.isascii() else "".join([_LETTERS[b] for b in chunk.encode()]))])
+        return self._direct(chunk)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, closed by :data:`END_ID`; a null text is an empty one."""
-        if not self.by_chunk:
-            return [b + self.end for b in self._direct([t or "" for t in texts])]
-        cut = [t.split() if t and not any(x in t for x in _NOT_SPACE) else None if t else [] for t in texts]
-        if len(self) > self.limit:
-            self.clear()
-        new: set[str] = set()
-        for words in cut:
-            if words:
-                new.update(words)
-        self._learn([c for c in new if c not in self])
-        get = self.__getitem__
-        return [(b"".join(map(get, words)) if words is not None else self._direct([t])[0]) + self.end for t, words in zip(texts, cut, strict=True)]
+        get, out = self.__getitem__, []
+        for t in texts:
+            if not t:
+                out.append(self.end)
+            elif not self.by_chunk or any(x in t for x in _NOT_SPACE):
+                out.append(self._direct(t) + self.end)
+            else:
+                if "<|" not in t and _latin(t):  # no special token can come out of this, and case folds letter by letter
+                    t = t.lower()
+                out.append(b"".join(map(get, t.split())) + self.end)
+        return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
