@@ -145,5 +145,8 @@ def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col:
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass; measured again on the way, so that no text is stored or shuffled."""
     cuts = stored(spark, cutoffs(measured(spark, docs, id_col, text_col, stratum_col), labels), "cutoffs")
-    rows = apply_cutoffs(with_measures(docs, text_col, "_q_"), cuts, stratum_col, "_q_")
-    return rows.where("_q_kept").select(*docs.columns)
+    # a filter that moved below the measures would compute them anew inside each other's lambdas: a column
+    # that is not deterministic keeps it above
+    fenced = with_measures(docs, text_col, "_q_").withColumn("_q_fence", F.monotonically_increasing_id())
+    rows = apply_cutoffs(fenced, cuts, stratum_col, "_q_")
+    return rows.where("_q_kept and _q_fence >= 0").select(*docs.columns)
