@@ -7,8 +7,6 @@ operations without a Python loop over pixels.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 # Fixed values of the checksum: start and multiplier of each of the four lanes.
@@ -80,19 +78,34 @@ def undelta(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(planes, axis=0, dtype=np.uint8)
 
 
-@lru_cache(maxsize=32)
+_powers: dict[int, np.ndarray] = {}
+
+
 def _inverse_powers(factor: int, n: int) -> np.ndarray:
-    """factor ** -(k+1) modulo 2**32 for k < n, by doubling."""
-    inverse = pow(factor, -1, 1 << 32)
-    out = np.empty(n, np.uint32)
-    if n:
-        out[0] = inverse
-        done = 1
-        while done < n:
-            step = min(done, n - done)
-            out[done : done + step] = out[:step] * np.uint32(pow(inverse, done, 1 << 32))
-            done += step
-    return out
+    """factor ** -(k+1) modulo 2**32 for k < n, by doubling; the longest one asked for is kept."""
+    out = _powers.get(factor)
+    if out is None:
+        out = np.array([pow(factor, -1, 1 << 32)], np.uint32)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint32(pow(factor, -len(out), 1 << 32))])
+    _powers[factor] = out
+    return out[:n]
+
+
+# The masks of an 8 x 8 bit transposition.
+_SWAPS = ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0))
+
+
+def _transpose_bits(x: np.ndarray) -> np.ndarray:
+    """Each 64-bit word as 8 bytes of 8 bits, rows and columns swapped. Works on ``x`` itself."""
+    for shift, mask in _SWAPS:
+        t = x >> np.uint64(shift)
+        t ^= x
+        t &= np.uint64(mask)
+        x ^= t
+        t <<= np.uint64(shift)
+        x ^= t
+    return x
 
 
 def _running_parity(words: np.ndarray) -> np.ndarray:
@@ -119,55 +132,38 @@ def _lane(raw: np.ndarray, start: int, factor: int) -> int:
     n = len(raw)
     if not n:
         return start
-    pad = (-n) % 64
-    data = np.concatenate([raw, np.zeros(pad, np.uint8)]) if pad else np.ascontiguousarray(raw)
-    low = np.zeros(len(data), np.uint8)
+    data = np.zeros(n + (-n) % 64, np.uint8)
+    data[:n] = raw
+    inputs = np.ascontiguousarray(_transpose_bits(data.view("<u8").copy()).view(np.uint8).reshape(-1, 8).T).view("<u8")
+    lines = np.empty_like(inputs)  # bits of the low byte before each step
     x: list[np.ndarray] = []  # bits of (low byte ^ input)
+    # factor * x is a sum of shifted x: an adder for each shift, that holds its carry into the present bit
+    shifts = [k for k in range(1, 8) if factor >> k & 1]
+    carries = [np.zeros_like(inputs[0]) for _ in shifts]
     for j in range(8):
-        bits = np.packbits(data & np.uint8(1 << j), bitorder="little").view(np.uint64)
-        drive = bits.copy()
-        # bit j of factor * x, without the term of x[j] itself: all carries into it
-        for term in _column(factor, j, x):
-            drive ^= term
+        terms = [x[j - k] if j >= k else None for k in shifts]
+        drive = inputs[j].copy()
+        for b, c in zip(terms, carries, strict=True):
+            if b is not None:
+                drive ^= b
+            drive ^= c
         line = _running_parity(drive)
-        if start >> j & 1:
-            line = ~line
-        x.append(line ^ bits)
-        low |= np.unpackbits(line.view(np.uint8), bitorder="little") << np.uint8(j)
-    low = low[:n]
-    change = ((low ^ raw).astype(np.int32) - low).astype(np.uint32)
-    inverse = _inverse_powers(factor, n)
+        lines[j] = ~line if start >> j & 1 else line
+        x.append(lines[j] ^ inputs[j])
+        total = x[j]
+        for k, (b, c) in enumerate(zip(terms, carries, strict=True)):
+            if b is None:  # no term: the carry only moves on into the total
+                carries[k], total = total & c, total ^ c
+            else:
+                both = total ^ b
+                carries[k], total = (total & b) | (c & both), both ^ c
+    low = _transpose_bits(np.ascontiguousarray(lines.view(np.uint8).T).view("<u8").reshape(-1)).view(np.uint8)[:n]
+    change = ((low ^ raw).astype(np.int16) - low).astype(np.int32).view(np.uint32)
     # state_n = factor**n * (start + sum of change_k * factor**-k)
-    total = int((change[1:] * inverse[:-1]).sum(dtype=np.uint32)) + int(change[0]) + start
+    total = int(np.dot(change[1:], _inverse_powers(factor, n)[: n - 1])) + int(change[0]) + start
     return total * pow(factor, n, 1 << 32) & _MASK
 
 
-def _column(factor: int, j: int, x: list[np.ndarray]) -> list[np.ndarray]:
-    """Planes whose XOR is bit j of factor * (x[0] + 2 x[1] + ...), less x[j]: the shifted terms and the carry from below."""
-    if j == 0:
-        return []
-    terms = [x[j - s] for s in range(1, j + 1) if factor >> s & 1]
-    return [*terms, _carry(factor, j, x)] if j > 1 else terms
-
-
-def _carry(factor: int, j: int, x: list[np.ndarray]) -> np.ndarray:
-    """What lower bits carry into bit j when the shifted terms are added one by one."""
-    shifts = [s for s in range(8) if factor >> s & 1]
-    zero = np.zeros_like(x[0])
-    total = [x[k] if k < j else zero for k in range(j)]
-    out = zero
-    for s in shifts[1:]:
-        carry = zero
-        new = []
-        for k in range(j):
-            b = x[k - s] if k >= s else zero
-            new.append(total[k] ^ b ^ carry)
-            carry = (total[k] & b) | (carry & (total[k] ^ b))
-        total = new
-        out = out ^ carry
-    return out
-
-
 def checksum(raw: bytes | np.ndarray) -> int:
     """The container's 32-bit checksum: four lanes over bytes k, k+4, ..., folded together."""
     data = np.frombuffer(raw, np.uint8) if not isinstance(raw, np.ndarray) else raw.reshape(-1)
