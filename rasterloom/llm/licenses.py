@@ -67,14 +67,14 @@ def classified(spark: SparkSession, counted: DataFrame) -> DataFrame:
     templates = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, line string")
     by_token = counted.select("line", "n", F.explode(tokens_of(F.col("line"))).alias("token")).groupBy("line", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
     frequency = by_token.groupBy("token").agg(F.sum("n").alias("df"))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    idf = F.log((1 + F.col("total")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    weighed = by_token.join(frequency, "token").crossJoin(F.broadcast(total)).select("line", "token", (F.col("tf") * idf).alias("w"))  # total is one row
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    idf = F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    weighed = by_token.join(frequency, "token").select("line", "token", (F.col("tf") * idf).alias("w"))
     norm = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
     words = templates.select("template", "license", F.explode(tokens_of(F.col("line"))).alias("token")).groupBy("template", "license", "token").agg(F.count(F.lit(1)).alias("tf"))
     known = F.broadcast(frequency.join(F.broadcast(words.select("token").distinct()), "token", "left_semi"))
-    tw = words.join(known, "token", "left").crossJoin(F.broadcast(total)).select("template", "license", "token", (F.col("tf") * idf).alias("tw"))
+    tw = words.join(known, "token", "left").select("template", "license", "token", (F.col("tf") * idf).alias("tw"))
     tn = tw.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     vectors = F.broadcast(tw.join(tn, "template"))  # the templates' tokens: a fixed table
     dots = weighed.join(vectors, "token").groupBy("line", "template", "license", "tnorm").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
@@ -87,7 +87,7 @@ def scan(spark: SparkSession, files: DataFrame, *, path: Column, text_col: str =
     """The keys, path, own_license, cosine, license_file, license, source (own, inherited, none), inherited_from."""
     rows = statements(spark, files, path, text_col, list(keys))
     lines = rows.select("row", F.explode("lines").alias("line"))
-    found = classified(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")))
+    found = classified(spark, stored(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "license-lines"))
     hit = lines.join(found, "line").withColumn("size", word_count(F.col("line")))
     own = hit.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.sum("size").alias("words"))
     own = own.select("row", F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("cosine"), "words")
