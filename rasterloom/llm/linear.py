@@ -20,7 +20,7 @@ WEIGHTS = 4096
 #: A feature needs this many documents of the sample, and this chi-square value.
 MIN_DOCS, MIN_CHI = 4, 30.0
 #: Chunks that a worker remembers.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TAIL = re.compile(r"[^\w\s]{2,}$")

@@ -21,7 +21,7 @@ import numpy as np
 #: Closes every document.
 END_ID = 1
 #: Chunks that a worker remembers; twice at most.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
 #: Characters that ``str.split`` takes for white space and Unicode does not.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 _TAIL = ".,"
@@ -130,7 +130,7 @@ def _latin(text: str) -> bool:
     return True
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """This worker's encoder; it outlives a task when workers are reused."""
     return Encoder(path)

@@ -120,7 +120,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Chain, *, id_col: str = "
     return rows.mapInArrow(_scoring(model, ["doc_id"]), f"doc_id {kind}, " + ", ".join(f"p_{n} double" for n in model.names) + ", rejected boolean")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(key: bytes):
     import pickle
 

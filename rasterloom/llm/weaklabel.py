@@ -155,7 +155,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     return model, linear.fit(features, values[:, 0])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(key: bytes):
     import pickle
 
