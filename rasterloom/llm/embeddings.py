@@ -3,17 +3,19 @@
 Equal vectors are one class first, so a vector that a third of all rows share is one
 row. Class vectors are indexed by coarse inverted lists (spherical k-means on a
 bounded sample) and residual subspace codes; every class is stored in the list of
-its nearest centroid and looks into the lists of its :data:`PROBES` nearest ones.
+its nearest centroid and looks into every list that a bound cannot rule out: by the
+angle to its centroid less the list's radius, or by the distance to the plane that
+parts it from the query's own list. So no link is lost, however many lists there are.
 
 In a list, a query's table of subspace products gives the asymmetric distance to
 each code by table lookups. The code's own error bounds the true cosine, so the
 lookups drop only what cannot link; the rest is reranked by the exact cosine in
-double precision, and nothing below the limit is ever a link. A pair that each side
-would find is counted on one side only.
+double precision, and nothing below the limit is ever a link.
 
-Lists are dealt into blocks, and a task compares one block of stored vectors with
-one block of queries. It returns link counts and a star for each component inside
-the block, never pairs, so a dense list stays small.
+Small lists share a region and large ones are dealt into several. A task compares the
+members of two regions that look into each other's lists, so each pair meets in one
+task. It returns link counts and a star for each component, never pairs, so a dense
+list stays small.
 
 Defined results: a vector that is null, zero, empty or holds a null or non-finite component
 links with nothing and is its own component; vectors of different lengths never
@@ -35,10 +37,10 @@ from rasterloom.session import drop_stored, ship, stored
 LIMIT = 0.9
 #: Classes that train the index, at most, and lists at most: about the root of the number of classes.
 SAMPLE, MAX_LISTS = 16_384, 4096
-PROBES = 8
 #: Codewords of a subspace, and its dimensions.
 CODEWORDS, SUBSPACE = 256, 4
-BLOCK = 2048
+#: Vectors of a region, at most about, and their bytes.
+BLOCK, BLOCK_BYTES = 8192, 8 << 20
 #: Vectors of at most this many different lengths.
 MAX_LENGTHS = 64
 
@@ -78,6 +80,23 @@ class Index:
         some = np.argpartition(-sims, n - 1, axis=1)[:, :n]
         return np.take_along_axis(some, np.argsort(-np.take_along_axis(sims, some, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
 
+    def reaches(self, unit: np.ndarray, home: np.ndarray, nearest: np.ndarray, lists: np.ndarray, limit: float) -> np.ndarray:
+        """Whether a member of each of ``lists`` may have the cosine ``limit`` with each vector.
+
+        nearest: the least cosine to its centroid of any member of each of ``lists``.
+        """
+        c = self.centroids[lists]
+        sims = unit @ c.T
+        turn = np.arccos(np.clip(limit, -1, 1)) + 1e-6
+        ok = np.arccos(np.clip(sims, -1, 1)) - np.arccos(np.clip(nearest, -1, 1)) <= turn
+        if limit > 0:
+            # members are on the far side of the plane between the two centroids
+            own = self.centroids[home]
+            lead = (unit * own).sum(axis=1)[:, None] - sims
+            apart = np.sqrt(np.maximum((own * own).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * (own @ c.T), 0))
+            ok &= (lead <= np.sin(turn) * apart) | (apart < 1e-4)
+        return ok
+
     def encode(self, unit: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what they leave out."""
         residual = unit - self.centroids[home]
@@ -125,7 +144,21 @@ def _classes(spark: SparkSession, vectors: DataFrame, id_col: str, vector_col: s
     return stored(spark, rows.mapInArrow(run, "vec_id long, dims int, key binary, raw binary"), "vectors")
 
 
-def _links(spark: SparkSession, classes: DataFrame, n: int, limit: float, probes: int, block: int) -> DataFrame:
+def _regions(count: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first region of each list and its number of regions: large lists have their own, small ones share."""
+    parts = np.maximum(-(-count // block), 1)
+    base = np.zeros(len(count), np.int64)
+    n, room = 0, 0
+    for c in np.flatnonzero(parts == 1).tolist():
+        if count[c] > room:
+            n, room = n + 1, block
+        base[c], room = n - 1, room - count[c]
+    large = parts > 1
+    base[large] = n + np.cumsum(parts[large]) - parts[large]
+    return base, parts
+
+
+def _links(spark: SparkSession, classes: DataFrame, n: int, limit: float, block: int) -> DataFrame:
     """a, b, links among the classes (rep, copies, raw) of one vector length: counts (b null) and stars (links null)."""
     import pyarrow as pa
 
@@ -139,80 +172,114 @@ def _links(spark: SparkSession, classes: DataFrame, n: int, limit: float, probes
             if not batch.num_rows:
                 continue
             unit = unit_rows(batch.column("raw").to_pylist())
-            near = index.probes(unit, probes)
-            codes, error = index.encode(unit, near[:, 0])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]), pa.int32()), pa.array(near.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "copies", "raw")] + [lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["rep", "copies", "raw", "probes", "code", "error"])
-
-    placed = stored(spark, classes.select("rep", "copies", "raw").mapInArrow(assign, "rep long, copies long, raw binary, probes array<int>, code binary, error double"), "placed")
-    visits = placed.select(F.posexplode("probes").alias("rank", "list"))
-    sizes = visits.groupBy("list").agg(F.ceil(F.sum((F.col("rank") == 0).cast("int")) / block).cast("int").alias("s_blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("q_blocks"))
-    sizes = F.broadcast(sizes.where("s_blocks > 0"))  # MAX_LISTS rows at most
-    own = F.xxhash64("rep")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))
-    fields = ["rep", "copies", "raw", "probes", "code", "error"]
-    kept = placed.withColumn("list", F.element_at("probes", 1)).join(sizes, "list").withColumn("s", F.pmod(own, F.col("s_blocks"))).withColumn("q", F.explode(upto(F.col("q_blocks"))))
-    asked = placed.select("*", F.explode("probes").alias("list")).join(sizes, "list").withColumn("q", F.pmod(own, F.col("q_blocks"))).withColumn("s", F.explode(upto(F.col("s_blocks"))))
-    # a query needs neither its code nor its other probes, only its home list
-    asked = asked.withColumns({"probes": F.slice("probes", 1, 1), "code": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")})
-    both = kept.select("list", "s", "q", F.lit(True).alias("is_stored"), *fields).unionAll(asked.select("list", "s", "q", F.lit(False).alias("is_stored"), *fields))
-    both = both.repartition("list", "s", "q").sortWithinPartitions("list", "s", "q")
+            home = index.probes(unit, 1)[:, 0]
+            codes, error = index.encode(unit, home)
+            near = (unit * index.centroids[home]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "copies", "raw")] + [pa.array(home), pa.array(near), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["rep", "copies", "raw", "home", "near", "code", "error"])
+
+    placed = stored(spark, classes.select("rep", "copies", "raw").mapInArrow(assign, "rep long, copies long, raw binary, home int, near double, code binary, error double"), "placed")
+    shape = placed.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).orderBy("home").collect()  # MAX_LISTS rows at most
+    lists, nearest = np.array([r.home for r in shape]), np.array([r.near for r in shape])
+    base, parts = _regions(np.array([r.n for r in shape]), max(1, min(block, BLOCK_BYTES // (8 * index.centroids.shape[1]))))
+    region_list = np.repeat(np.arange(len(lists)), parts)  # a list and each of its regions
+    regions = np.repeat(base, parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    number = int(regions.max()) + 1
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                unit, home = unit_rows(batch.column("raw").to_pylist()), batch.column("home").to_numpy()
+                at = np.searchsorted(lists, home)
+                mine = base[at] + batch.column("own").to_numpy() % parts[at]
+                met = np.zeros((len(unit), number), bool)
+                i, c = np.nonzero(index.reaches(unit, home, nearest, lists, limit)[:, region_list])
+                met[i, regions[c]] = True
+                met[np.arange(len(unit)), mine] = True
+                i, other = np.nonzero(met)
+                r, s, side = np.minimum(mine[i], other), np.maximum(mine[i], other), np.sign(mine[i] - other) + 1
+                # 4096 rows at a time: a vector may go to many regions
+                for k0 in range(0, len(i), 4096):
+                    part = slice(k0, k0 + 4096)
+                    rows = pa.array(i[part])
+                    # only the greater region's members are looked up by code
+                    code = batch.column("code").take(pa.array(i[part], mask=side[part] == 0))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r[part].astype(np.int32)), pa.array(s[part].astype(np.int32)), pa.array(side[part].astype(np.int32))] + [batch.column(c).take(rows) for c in ("rep", "copies", "raw", "home", "error")] + [code],
+                        ["r", "s", "side", "rep", "copies", "raw", "home", "error", "code"],
+                    )
+
+    own = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("own")
+    met = placed.select("rep", "copies", "raw", "home", "error", "code", own).mapInArrow(visit, "r int, s int, side int, rep long, copies long, raw binary, home int, error double, code binary")
+    met = met.repartition("r", "s").sortWithinPartitions("r", "s")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        last: tuple[int, int] | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            key = np.stack([held.column(c).to_numpy() for c in ("list", "s", "q")])
-            edge = np.append(0, np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1)
+            key = np.stack([batch.column(c).to_numpy() for c in ("r", "s")])
+            edge = np.concatenate([[0], np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                yield from one(held.slice(a, b - a))
-            held = held.slice(int(edge[-1])).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from one(held)
+                if a == b:
+                    continue
+                now = (int(key[0, a]), int(key[1, a]))
+                if held and now != last:
+                    yield from one(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+        if held:
+            yield from one(pa.Table.from_batches(held).combine_chunks())
 
     def one(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        side = group.column("is_stored").to_numpy(zero_copy_only=False).astype(bool)
-        if side.all() or not side.any():
-            return
-        held, asking = group.filter(pa.array(side)), group.filter(pa.array(~side))
-        y, x = unit_rows(held.column("raw").to_pylist()), unit_rows(asking.column("raw").to_pylist())
-        codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(y), -1)
-        slack = limit - 1e-5 - held.column("error").to_numpy()
-        ry, rx = held.column("rep").to_numpy(), asking.column("rep").to_numpy()
-        ny, nx = held.column("copies").to_numpy(), asking.column("copies").to_numpy()
-        py = np.array(held.column("probes").to_pylist())
-        home = np.array([p[0] for p in asking.column("probes").to_pylist()])
-        c = group.column("list")[0].as_py()
-        found = []
-        for i0 in range(0, len(x), 256):
-            i, j = np.nonzero(index.estimates(x[i0 : i0 + 256], c, codes) >= slack)
-            i += i0
-            ok = rx[i] != ry[j]
-            i, j = i[ok], j[ok]
-            exact = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
-            i, j = i[exact >= limit], j[exact >= limit]
-            other = (py[j] == home[i][:, None]).any(axis=1)  # the stored one finds the asking one as well: counted where the lesser asks
-            ok = ~other | (rx[i] < ry[j])
-            found.append((i[ok], j[ok]))
-        i, j = (np.concatenate(v) for v in zip(*found, strict=True))
-        if not len(i):
+        # side: 0 in the lesser region, 2 in the greater, 1 where the two are one
+        side, home = group.column("side").to_numpy(), group.column("home").to_numpy()
+        stored_at, asking_at = np.flatnonzero(side >= 1), np.flatnonzero(side <= 1)
+        if not len(stored_at) or not len(asking_at):
             return
-        reps, at = np.unique(np.concatenate([rx, ry]), return_inverse=True)
-        ii, jj = at[: len(rx)][i], at[len(rx) :][j]
-        links = np.bincount(ii, ny[j], len(reps)) + np.bincount(jj, nx[i], len(reps))
-        label = stars(len(reps), ii, jj)
-        some = np.flatnonzero(links > 0)
-        joined = np.flatnonzero(label != np.arange(len(reps)))
-        yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
-        yield pa.RecordBatch.from_arrays([pa.array(reps[joined]), pa.array(reps[label[joined]]), pa.nulls(len(joined), pa.int64())], ["a", "b", "links"])
-
-    out = stored(spark, both.mapInArrow(compare, "a long, b long, links long"), "vector-links")
+        stored_at = stored_at[np.argsort(home[stored_at], kind="stable")]
+        unit = unit_rows(group.column("raw").to_pylist())
+        rep, copies, error = (group.column(c).to_numpy() for c in ("rep", "copies", "error"))
+        code = group.column("code").to_pylist()
+        links, label = np.zeros(len(rep)), np.arange(len(rep))
+        edge = np.append(np.flatnonzero(np.append(True, np.diff(home[stored_at]) != 0)), len(stored_at))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            held = stored_at[a:b]
+            c = int(home[held[0]])
+            at = int(np.searchsorted(lists, c))
+            asking = asking_at[index.reaches(unit[asking_at], home[asking_at], nearest[at : at + 1], lists[at : at + 1], limit)[:, 0]]
+            codes = np.frombuffer(b"".join(code[k] for k in held), np.uint8).reshape(len(held), -1)
+            slack = limit - 1e-5 - error[held]
+            y = unit[held]
+            step = max(16, min(2048, (1 << 20) // len(held)))
+            for i0 in range(0, len(asking), step):
+                some = asking[i0 : i0 + step]
+                x = unit[some]
+                i, j = np.nonzero(index.estimates(x, c, codes) >= slack)
+                ok = (side[some[i]] == 0) | (rep[some[i]] < rep[held[j]])  # inside a region each pair once
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                if len(i) * 8 > len(x) * len(y):
+                    exact = (x @ y.T)[i, j]
+                else:
+                    exact = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
+                i, j = some[i[exact >= limit]], held[j[exact >= limit]]
+                links += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+                fresh = label[i] != label[j]
+                if fresh.any():
+                    before = np.flatnonzero(label != np.arange(len(rep)))
+                    label = stars(len(rep), np.append(i[fresh], before), np.append(j[fresh], label[before]))
+        some, joined = np.flatnonzero(links > 0), np.flatnonzero(label != np.arange(len(rep)))
+        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(rep[joined]), pa.array(rep[label[joined]]), pa.nulls(len(joined), pa.int64())], ["a", "b", "links"])
+
+    out = stored(spark, met.mapInArrow(compare, "a long, b long, links long"), "vector-links")
     drop_stored(spark, placed)
     return out
 
 
-def near_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = LIMIT, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def near_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors``."""
     ship(spark)
     rows = _classes(spark, vectors, id_col, vector_col)
@@ -221,7 +288,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_
     lengths = classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LENGTHS + 1).collect()
     if len(lengths) > MAX_LENGTHS:
         raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
-    found = [_links(spark, classes.where(F.col("dims") == r.dims), r.n, limit, probes, block) for r in lengths]
+    found = [_links(spark, classes.where(F.col("dims") == r.dims), r.n, limit, block) for r in lengths]
     links = spark.createDataFrame([], "a long, b long, links long")
     for f in found:
         links = links.unionAll(f)

@@ -77,3 +77,16 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.u: r.v for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {1000 + i: 1000 for i in range(1, 60)}
     assert components(spark, spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_dense_group_loses_no_link(spark):
+    """A third of the vectors mutually near but unequal: split into many lists, each link still found."""
+    r = np.random.default_rng(11)
+    centre = r.normal(size=64)
+    near = centre + r.normal(size=(3500, 64)) * np.linalg.norm(centre) / 8 * np.sqrt(r.uniform(0.03, 0.12, size=(3500, 1)))
+    x = np.concatenate([near, r.normal(size=(7000, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    degree = np.concatenate([(unit[k : k + 500] @ unit.T >= 0.9).sum(axis=1) - 1 for k in range(0, len(unit), 500)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = dict(embeddings.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("vec_id", "n_links").collect())
+    assert 1_000_000 < degree.sum() and [got[i] for i in range(len(x))] == degree.tolist()
