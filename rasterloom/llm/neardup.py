@@ -39,6 +39,8 @@ from rasterloom.session import drop_stored, ship, stored
 PERCENT = 80
 #: Estimates this many standard deviations below the limit are still verified.
 MARGIN = 4.0
+#: Pairs whose smaller set has fewer shingles are verified whatever their estimate: most of their registers are borrowed.
+SMALL = 64
 #: Members of a block; a group is two blocks.
 BLOCK = 1024
 #: Bytes of full sets in a block, about.
@@ -101,7 +103,9 @@ class Group:
         self.rep, self.side, self.comp, self.n, self.regs = (columns[c] for c in ("rep", "side", "comp", "n", "registers"))
         self.percent, self.sets = percent, sets
         share = percent / 100
-        self.low = share - MARGIN * np.sqrt(share * (1 - share) / hm.REGISTERS)
+        # only registers that a shingle fell into are independent
+        filled = hm.REGISTERS * -np.expm1(-np.maximum(self.n, 1) / hm.REGISTERS)
+        self.low = np.where(self.n < SMALL, -np.inf, share - MARGIN * np.sqrt(share * (1 - share) / filled))
 
     def likely(self, i: np.ndarray, j: np.ndarray, equal: np.ndarray, apart: bool) -> tuple[np.ndarray, ...]:
         """i, j, estimate of those given pairs that may link; apart: only between components."""
@@ -111,14 +115,14 @@ class Group:
             ok &= self.comp[i] != self.comp[j]
         i, j, equal = i[ok], j[ok], equal[ok]
         estimate = hm.corrected(equal, n[i], n[j]) if len(i) else np.zeros(0)
-        ok = estimate >= self.low
+        ok = estimate >= np.minimum(self.low[i], self.low[j])
         return i[ok], j[ok], estimate[ok]
 
     def all_likely(self, apart: bool) -> tuple[np.ndarray, ...]:
         found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         for i0 in range(0, len(self.n) - 1, 64):
             equal = (self.regs[i0 : i0 + 64, None, :] == self.regs[None, i0 + 1 :, :]).sum(axis=2, dtype=np.int32)
-            i, j = np.nonzero(equal >= self.low * hm.REGISTERS)
+            i, j = np.nonzero(equal >= np.minimum(self.low[i0 : i0 + 64, None], self.low[None, i0 + 1 :]) * hm.REGISTERS)
             ahead = j >= i
             i, j = i[ahead], j[ahead]
             found.append(self.likely(i + i0, j + i0 + 1, equal[i, j], apart))

@@ -164,6 +164,17 @@ def test_chance_collisions():
         assert hits == pytest.approx(chance, rel=0.25)
 
 
+@pytest.mark.parametrize("shared, whole", [(4, 5), (8, 10), (40, 50)])
+def test_small_sets_reach_the_exact_check(shared, whole):
+    dropped = 0
+    for seed in range(1500):
+        y = np.unique(np.random.default_rng(seed).integers(0, 1 << 63, whole).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        x = np.sort(np.random.default_rng(-seed % 9973).permutation(y)[:shared])
+        columns = {"rep": np.array([0, 1]), "side": np.array([2, 2]), "comp": np.array([0, 1]), "n": np.array([shared, whole]), "registers": np.stack([hm.sketch(x), hm.sketch(y)])}
+        dropped += not len(neardup.Group(columns, 80).all_likely(False)[0])
+    assert dropped == 0
+
+
 # Weak labels and toxicity: held-out accuracy
 
 
