@@ -1,10 +1,14 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance down the tree.
 
-Statements are the lines of a whole text that hold a licence cue word: headers of
-files and the lines of licence files alike. Equal lines are one statement with a
-count, so a notice on a third of all files is classified once. Statements and
-templates are sparse TF-IDF vectors over the statements of the whole corpus; a
-statement takes the template of the largest cosine, if it is large enough.
+Statements are windows of consecutive lines of a text, headers of files and licence
+files alike: every window of up to :data:`WINDOW` lines, and each whole block of
+lines without a blank one, that begins and ends with a line holding a word of a
+template; of a file named as a licence also its whole text. Function words do not
+count. Windows that hold none of :func:`key_words` cannot reach the least cosine. Equal windows
+are one statement with a count, so a notice on a third of all files is classified
+once. Statements and templates are sparse TF-IDF vectors over the lines of the whole
+corpus that hold a template's word; a statement takes the template of the largest
+cosine, if it is large enough. A line with an SPDX identifier is that licence.
 
 A licence file is one named as such, or one that is mostly statements. Its
 directory takes its licence, the commonest where there are several. A file with
@@ -19,6 +23,10 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,45 +37,117 @@ from rasterloom.session import stored
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License. Simplified BSD License."),
+    ("BSD-3-Clause", "BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. Public domain."),
+    ("GPL-2.0", "GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
-CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain"
+#: Words of the templates that carry no licence.
+FUNCTION_WORDS = frozenset("a above all and any are as at be by do either except following for in including is it may met not of on or so such that the this to under use we whom with without you your".split())
+WORDS = sorted({t for _, text in TEMPLATES for t in re.split(r"[^a-z0-9]+", text.lower())} - FUNCTION_WORDS - {""})
+#: A line that holds a template's word, whole.
+CUE = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join([*WORDS, "spdx"]) + r")(?![\p{L}\p{N}])"
+LINE_END = r"\r\n|[\n\r]"
+SPDX = r"SPDX-License-Identifier:\s*(\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?(?:\s+(?:OR|AND|WITH)\s+\(?[A-Za-z0-9][A-Za-z0-9.+-]*\)?)*)"
+#: Lines of a window at most; a block without blank lines is one too, however long.
+WINDOW = 8
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-].*)?$"
 #: Least cosine of a match; least share of a text's words in statements to make it a licence file.
 LEAST_COSINE, FILE_SHARE = 0.6, 0.3
 
 
 def tokens_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
-def statements(spark: SparkSession, files: DataFrame, path: Column, text_col: str, keys: list[str]) -> DataFrame:
-    """row, the keys, path, directory, n_words, lines (the statements): a stored table without the texts."""
+    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(*sorted(FUNCTION_WORDS)))
+
+
+def frequencies(spark: SparkSession, files: DataFrame, text_col: str) -> DataFrame:
+    """token, df over the lines that hold a template's word; their number is that of the empty token. A stored table."""
+    lines = files.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), LINE_END)).alias("line")).where(F.col("line").rlike(CUE))
+    tokens = lines.select(F.explode(F.concat(F.array_distinct(tokens_of(F.col("line"))), F.array(F.lit("")))).alias("token"))
+    return stored(spark, tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "license-tokens")
+
+
+def key_words(df: dict[str, int]) -> list[str]:
+    """Words of which every window with the least cosine to a template holds one.
+
+    The words a window shares with a template carry at least LEAST_COSINE of the
+    template's length (Cauchy-Schwarz), so its lightest words may go while they
+    together carry less.
+    """
+    keys = {"spdx"}
+    for _, text in TEMPLATES:
+        tf = Counter(t for t in re.split(r"[^a-z0-9]+", text.lower()) if t and t not in FUNCTION_WORDS)
+        square = {t: (n * (math.log((1 + df.get("", 0)) / (1 + df.get(t, 0))) + 1)) ** 2 for t, n in tf.items()}
+        room = (LEAST_COSINE**2 - 1e-6) * sum(square.values())
+        for t in sorted(square, key=lambda t: (square[t], t)):
+            room -= square[t]
+            if room <= 0:
+                keys.add(t)
+    return sorted(keys)
+
+
+def windows_of(lines: Column, hits: Column, cuts: Column, keys: Column, whole: Column) -> Column:
+    """(first, last, text) of each window that begins and ends with a hit and holds a key; lines count from 1, cuts are the blank ones."""
+    text = lambda a, b: F.array_join(F.slice(lines, a, b - a + 1), "\n")
+    held = lambda a, b: F.exists(keys, lambda k: (k >= a) & (k <= b))
+    window = lambda a, b: F.struct(a.alias("first"), b.alias("last"), text(a, b).alias("text"))
+    cut = lambda a: F.coalesce(F.try_element_at(F.filter(cuts, lambda x: x > a), F.lit(1)), F.size(lines) + 1)
+    # hits with the first cut after each, so that a window never crosses a blank line
+    near = F.transform(hits, lambda a: F.struct(a.alias("a"), cut(a).alias("cut")))
+    short = F.flatten(F.transform(near, lambda h: F.transform(F.filter(hits, lambda b: held(h["a"], b) & (b >= h["a"]) & (b < h["a"] + WINDOW) & (b < h["cut"])), lambda b: window(h["a"], b))))
+    ends = F.array_distinct(F.transform(near, lambda h: h["cut"]))
+    block = F.transform(ends, lambda c: F.struct(F.array_min(F.transform(F.filter(near, lambda h: h["cut"] == c), lambda h: h["a"])).alias("a"), F.array_max(F.filter(hits, lambda b: b < c)).alias("b")))
+    long = F.transform(F.filter(block, lambda x: (x["b"] - x["a"] >= WINDOW) & held(x["a"], x["b"])), lambda x: window(x["a"], x["b"]))
+    all_ = F.when(whole & (F.size(keys) > 0), F.array(window(F.lit(1), F.size(lines)))).otherwise(F.array().cast("array<struct<first:int,last:int,text:string>>"))
+    return F.array_distinct(F.concat(short, long, all_))
+
+
+def statements(spark: SparkSession, files: DataFrame, path: Column, text_col: str, keys: list[str], key: str) -> DataFrame:
+    """row, the keys, path, directory, n_words, lines (the windows): a stored table without the texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, r"[\n\r]+"), lambda x: x.rlike(CUE))
-    rows = files.select(*keys, path.alias("path"), word_count(F.col(text_col)).alias("n_words"), F.transform(lines, F.trim).alias("lines"))
+    rows = files.select(*keys, path.alias("path"), word_count(F.col(text_col)).alias("n_words"), F.when(text.rlike(key), F.transform(F.split(text, LINE_END), F.trim)).otherwise(F.array().cast("array<string>")).alias("all"))
+    places = F.sequence(F.lit(1), F.size("all"))
+    where = lambda ok: F.when(F.size("all") > 0, F.filter(F.zip_with("all", places, lambda x, k: F.when(ok(x), k)), lambda k: k.isNotNull())).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumns({"hits": where(lambda x: x.rlike(CUE)), "cuts": where(lambda x: x == ""), "held": where(lambda x: x.rlike(key))})
+    rows = rows.withColumn("lines", windows_of(F.col("all"), F.col("hits"), F.col("cuts"), F.col("held"), _named("path"))).drop("all", "hits", "cuts", "held")
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("directory", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     return stored(spark, rows, "statements")
 
 
-def classified(spark: SparkSession, counted: DataFrame) -> DataFrame:
-    """line, license, cosine for each distinct statement line (line, n) that matches a template."""
+def _named(path: str) -> Column:
+    return F.coalesce(F.element_at(F.split(path, "/"), -1).rlike(FILE_NAME), F.lit(False))
+
+
+def classified(spark: SparkSession, counted: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
+    """line, license, cosine for each distinct statement (line, n) that matches a template."""
     templates = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, line string")
     by_token = counted.select("line", "n", F.explode(tokens_of(F.col("line"))).alias("token")).groupBy("line", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = by_token.groupBy("token").agg(F.sum("n").alias("df"))
-    total = counted.agg(F.sum("n")).first()[0] or 0
     idf = F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1
     weighed = by_token.join(frequency, "token").select("line", "token", (F.col("tf") * idf).alias("w"))
     norm = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -80,19 +160,27 @@ def classified(spark: SparkSession, counted: DataFrame) -> DataFrame:
     dots = weighed.join(vectors, "token").groupBy("line", "template", "license", "tnorm").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 9)
     scored = dots.join(norm, "line").select("line", "license", cosine.alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    # an identifier names its licence whatever the templates say
+    named = counted.select("line", F.regexp_extract("line", SPDX, 1).alias("license"), F.lit(1.0).alias("cosine")).where("license <> ''")
+    scored = scored.join(named.select("line"), "line", "left_anti").unionAll(named)
     return scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("line", "best.license", (-F.col("best.c")).alias("cosine"))
 
 
 def scan(spark: SparkSession, files: DataFrame, *, path: Column, text_col: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
     """The keys, path, own_license, cosine, license_file, license, source (own, inherited, none), inherited_from."""
-    rows = statements(spark, files, path, text_col, list(keys))
-    lines = rows.select("row", F.explode("lines").alias("line"))
-    found = classified(spark, stored(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "license-lines"))
-    hit = lines.join(found, "line").withColumn("size", word_count(F.col("line")))
-    own = hit.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.sum("size").alias("words"))
-    own = own.select("row", F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("cosine"), "words")
-    named = F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME)
-    is_file = F.col("own_license").isNotNull() & (F.coalesce(named, F.lit(False)) | (F.col("words") >= FILE_SHARE * F.col("n_words")))
+    frequency = frequencies(spark, files, text_col)
+    df = {r.token: r.df for r in frequency.where(F.col("token").isin("", *WORDS)).collect()}
+    key = CUE.replace("|".join([*WORDS, "spdx"]), "|".join(key_words(df)))
+    rows = statements(spark, files, path, text_col, list(keys), key)
+    lines = rows.select("row", F.explode("lines").alias("w")).select("row", F.col("w.text").alias("line"), "w.first", "w.last")
+    found = classified(spark, stored(spark, lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), "license-lines"), frequency, df.get("", 0))
+    hit = lines.join(found, "line")
+    own = hit.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    # windows overlap: each line of a match counts once
+    at = hit.select("row", F.posexplode(F.split("line", "\n")).alias("k", "one"), "first").select("row", (F.col("first") + F.col("k")).alias("place"), "one").distinct()
+    size = at.groupBy("row").agg(F.sum(word_count(F.col("one"))).alias("words"))
+    own = own.join(size, "row").select("row", F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("cosine"), "words")
+    is_file = F.col("own_license").isNotNull() & (_named("path") | (F.col("words") >= FILE_SHARE * F.col("n_words")))
     rows = stored(spark, rows.join(own, "row", "left").select("row", *keys, "path", "directory", "own_license", "cosine", is_file.alias("license_file")), "own-licenses")
 
     per_dir = rows.where("license_file and directory is not null").groupBy("directory", "own_license").agg(F.count(F.lit(1)).alias("n"))

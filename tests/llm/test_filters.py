@@ -267,6 +267,20 @@ def test_licences_of_documents(spark):
         assert got[d["doc_id"]] == next((v for k, v in lines.items() if k in d["text"].split("\n")), reserved)
 
 
+def test_licences_without_a_cue_phrase_and_over_lines(spark):
+    gpl2 = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n\nimport os"
+    want = {
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT", "This program is free software: you can redistribute it and/or modify": "GPL-3.0",
+        "Creative Commons Attribution 4.0 International": "CC-BY-4.0", "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only", "/* SPDX-License-Identifier: Apache-2.0 OR MIT */": "Apache-2.0 OR MIT",
+        "# Redistribution and use in source\n# and binary forms, with or without\n# modification, are permitted provided\n# that the following conditions are met:": "BSD-3-Clause",
+        gpl2: "GPL-2.0", "GNU Affero General Public License version 3": "AGPL-3.0", "a copy of the book": None, "": None,
+    }
+    rows = [(f"d{k}/x.py", prose(k, 60) + "\n\n" + t) for k, t in enumerate(want)]
+    got = {r.path: r.own_license for r in licenses.scan(spark, spark.createDataFrame(rows, "path string, text string"), path=F.col("path")).collect()}
+    assert [got[p] for p, _ in rows] == list(want.values())
+
+
 # Pipeline
 
 
