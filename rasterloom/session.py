@@ -1,7 +1,8 @@
 """Session plumbing shared by the whole library.
 
 * :func:`ship` makes the package importable on the Python workers of any
-  cluster (``sys.path`` edits of the driver do not reach them).
+  cluster (``sys.path`` edits of the driver do not reach them), and bounds the bytes
+  of the Arrow batches that they get.
 * :func:`shared_dir` is the folder every executor can read; it comes from
   ``spark.checkpoint.dir`` and is only made up where that setting is absent.
 * :func:`stored` cuts a lineage with a table written there.
@@ -17,11 +18,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to a Python worker, about: whole texts are long, and rows alone bound nothing.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and bound the Arrow batches of a session that sets no bound."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
