@@ -37,12 +37,16 @@ from rasterloom.session import drop_stored, ship, stored
 LIMIT = 0.9
 #: Classes that train the index, at most, and lists at most: about the root of the number of classes.
 SAMPLE, MAX_LISTS = 16_384, 4096
+#: Bytes of that sample, at most: long vectors make it smaller.
+SAMPLE_BYTES = 64 << 20
 #: Codewords of a subspace, and its dimensions.
-CODEWORDS, SUBSPACE = 256, 4
+CODEWORDS, SUBSPACE = 256, 8
 #: Vectors of a region, at most about, and their bytes.
 BLOCK, BLOCK_BYTES = 8192, 8 << 20
-#: Vectors of at most this many different lengths.
-MAX_LENGTHS = 64
+#: Queries and stored vectors that a task compares at once.
+QUERIES, STORED = 256, 1024
+#: Vector lengths that get an index of their own, the commonest; vectors of other lengths are compared in blocks without one.
+INDEXED_LENGTHS = 64
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool = False) -> np.ndarray:
@@ -107,12 +111,18 @@ class Index:
             residual[:, a:b] -= book[codes[:, k]]
         return codes, np.linalg.norm(residual, axis=1)
 
-    def estimates(self, queries: np.ndarray, centroid: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric products of queries with stored codes of one list: a table lookup for each subspace."""
-        out = np.repeat((queries @ self.centroids[centroid])[:, None], len(codes), axis=1).astype(np.float32)
-        for k, (book, a, b) in enumerate(zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)):
-            out += (queries[:, a:b] @ book.T).astype(np.float32)[:, codes[:, k]]
-        return out
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each subspace the products of its codewords (rows) with the queries (columns)."""
+        return [(book @ queries[:, a:b].T).astype(np.float32) for book, a, b in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
+
+
+def estimates(tables: list[np.ndarray], codes: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Asymmetric products of stored codes (rows) with queries (columns): a table lookup for each subspace, added to the centroids' products."""
+    found = np.empty_like(coarse)
+    for k, table in enumerate(tables):
+        np.take(table, codes[:, k], axis=0, out=found, mode="clip")
+        coarse += found
+    return coarse
 
 
 def unit_rows(raw: list[bytes]) -> np.ndarray:
@@ -158,12 +168,13 @@ def _regions(count: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return base, parts
 
 
-def _links(spark: SparkSession, classes: DataFrame, n: int, limit: float, block: int) -> DataFrame:
+def _links(spark: SparkSession, classes: DataFrame, dims: int, n: int, limit: float, block: int) -> DataFrame:
     """a, b, links among the classes (rep, copies, raw) of one vector length: counts (b null) and stars (links null)."""
     import pyarrow as pa
 
     place = F.pmod(F.xxhash64(F.lit("index"), "rep"), F.lit(1 << 30))
-    sample = classes.where(place < int((1 << 30) * min(1.0, 0.95 * SAMPLE / n))).limit(SAMPLE) if n > SAMPLE else classes
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
+    sample = classes.where(place < int((1 << 30) * min(1.0, 0.95 * most / n))).orderBy(place, "rep").limit(most) if n > most else classes
     rows = sorted((r.rep, bytes(r.raw)) for r in sample.select("rep", "raw").collect())
     index = Index(unit_rows([r for _, r in rows]), int(np.clip(round(n**0.5), 1, MAX_LISTS)))
 
@@ -213,16 +224,110 @@ def _links(spark: SparkSession, classes: DataFrame, n: int, limit: float, block:
     met = placed.select("rep", "copies", "raw", "home", "error", "code", own).mapInArrow(visit, "r int, s int, side int, rep long, copies long, raw binary, home int, error double, code binary")
     met = met.repartition("r", "s").sortWithinPartitions("r", "s")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        # side: 0 in the lesser region, 2 in the greater, 1 where the two are one
+        side, home = group.column("side").to_numpy(), group.column("home").to_numpy()
+        stored_at, asking_at = np.flatnonzero(side >= 1), np.flatnonzero(side <= 1)
+        if not len(stored_at) or not len(asking_at):
+            return
+        stored_at, asking_at = (x[np.argsort(home[x], kind="stable")] for x in (stored_at, asking_at))
+        found = Links(group)
+        code, error = group.column("code"), group.column("error").to_numpy()
+        codes = np.frombuffer(b"".join(code.take(pa.array(stored_at)).to_pylist()), np.uint8).reshape(len(stored_at), -1)
+        slack = (limit - 1e-5 - error[stored_at]).astype(np.float32)[:, None]
+        held, own = np.unique(home[stored_at], return_inverse=True)
+        near = nearest[np.searchsorted(lists, held)]
+        for i0 in range(0, len(asking_at), QUERIES):
+            some = asking_at[i0 : i0 + QUERIES]
+            x = found.unit[some]
+            tables, coarse = index.tables(x), (index.centroids[held] @ x.T).astype(np.float32)
+            wanted = np.flatnonzero(index.reaches(x, home[some], near, held, limit).any(axis=0)[own])
+            for j0 in range(0, len(wanted), STORED):
+                those = wanted[j0 : j0 + STORED]
+                j, i = np.nonzero(estimates(tables, codes[those], coarse[own[those]]) >= slack[those])
+                found.check(some[i], stored_at[those[j]], len(those) * len(some), limit)
+        yield from found.rows()
+
+    out = stored(spark, met.mapInArrow(_by_group(("r", "s"), one), "a long, b long, links long"), "vector-links")
+    drop_stored(spark, placed)
+    return out
+
+
+def _plain_links(spark: SparkSession, classes: DataFrame, limit: float, block: int) -> DataFrame:
+    """As :func:`_links`, for vectors of lengths that few have: blocks of a length meet in pairs and are compared without an index."""
+    import pyarrow as pa
+
+    sizes = classes.groupBy(F.col("dims").alias("_dims")).agg(F.count(F.lit(1)).alias("n"))
+    rows = classes.join(sizes, F.col("dims") == F.col("_dims")).withColumn("parts", F.ceil(F.greatest(F.col("n") / block, F.col("n") * F.col("dims") * 8 / BLOCK_BYTES)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 1).when(F.col("mine") < F.col("other"), 0).otherwise(2).cast("int")
+    met = rows.select("dims", F.least("mine", "other").alias("r"), F.greatest("mine", "other").alias("s"), side.alias("side"), "rep", "copies", "raw")
+
+    def one(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = group.column("side").to_numpy()
+        stored_at, asking_at = np.flatnonzero(side >= 1), np.flatnonzero(side <= 1)
+        if not len(stored_at) or not len(asking_at):
+            return
+        found = Links(group)
+        for i0 in range(0, len(asking_at), QUERIES):
+            some = asking_at[i0 : i0 + QUERIES]
+            i, j = np.nonzero(found.unit[some] @ found.unit[stored_at].T >= limit)
+            found.check(some[i], stored_at[j], 0, limit)
+        yield from found.rows()
+
+    met = met.repartition("dims", "r", "s").sortWithinPartitions("dims", "r", "s")
+    return stored(spark, met.mapInArrow(_by_group(("dims", "r", "s"), one), "a long, b long, links long"), "vector-links")
+
+
+class Links:
+    """Links among the rows of a group: a count for each row, and a component label."""
+
+    def __init__(self, group):
+        self.rep, self.copies, self.side = (group.column(c).to_numpy() for c in ("rep", "copies", "side"))
+        self.unit = unit_rows(group.column("raw").to_pylist())
+        self.links, self.label = np.zeros(len(self.rep)), np.arange(len(self.rep))
+
+    def check(self, i: np.ndarray, j: np.ndarray, dense: int, limit: float) -> None:
+        """Exact cosines of the candidate pairs; dense: how many pairs they were chosen from."""
+        rep, label = self.rep, self.label
+        ok = (self.side[i] == 0) | (rep[i] < rep[j])  # inside a region each pair once
+        i, j = i[ok], j[ok]
+        if not len(i):
+            return
+        if len(i) * 8 > dense > 0:
+            x, y = np.unique(i), np.unique(j)
+            exact = (self.unit[x] @ self.unit[y].T)[np.searchsorted(x, i), np.searchsorted(y, j)]
+        else:
+            exact = np.concatenate([np.einsum("nd,nd->n", self.unit[i[k : k + 65536]], self.unit[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
+        i, j = i[exact >= limit], j[exact >= limit]
+        self.links += np.bincount(i, self.copies[j], len(rep)) + np.bincount(j, self.copies[i], len(rep))
+        fresh = label[i] != label[j]
+        if fresh.any():
+            before = np.flatnonzero(label != np.arange(len(rep)))
+            self.label = stars(len(rep), np.append(i[fresh], before), np.append(j[fresh], label[before]))
+
+    def rows(self) -> Iterator:
+        import pyarrow as pa
+
+        some, joined = np.flatnonzero(self.links > 0), np.flatnonzero(self.label != np.arange(len(self.rep)))
+        yield pa.RecordBatch.from_arrays([pa.array(self.rep[some]), pa.nulls(len(some), pa.int64()), pa.array(self.links[some].astype(np.int64))], ["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(self.rep[joined]), pa.array(self.rep[self.label[joined]]), pa.nulls(len(joined), pa.int64())], ["a", "b", "links"])
+
+
+def _by_group(keys: tuple[str, ...], one):
+    """``one`` over the rows of each value of ``keys``, which lie together; a group may span batches."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last: tuple[int, int] | None = None
+        last: tuple[int, ...] | None = None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("r", "s")])
+            key = np.stack([batch.column(c).to_numpy() for c in keys])
             edge = np.concatenate([[0], np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if a == b:
                     continue
-                now = (int(key[0, a]), int(key[1, a]))
+                now = tuple(key[:, a].tolist())
                 if held and now != last:
                     yield from one(pa.Table.from_batches(held).combine_chunks())
                     held = []
@@ -231,52 +336,7 @@ def _links(spark: SparkSession, classes: DataFrame, n: int, limit: float, block:
         if held:
             yield from one(pa.Table.from_batches(held).combine_chunks())
 
-    def one(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        # side: 0 in the lesser region, 2 in the greater, 1 where the two are one
-        side, home = group.column("side").to_numpy(), group.column("home").to_numpy()
-        stored_at, asking_at = np.flatnonzero(side >= 1), np.flatnonzero(side <= 1)
-        if not len(stored_at) or not len(asking_at):
-            return
-        stored_at = stored_at[np.argsort(home[stored_at], kind="stable")]
-        unit = unit_rows(group.column("raw").to_pylist())
-        rep, copies, error = (group.column(c).to_numpy() for c in ("rep", "copies", "error"))
-        code = group.column("code").to_pylist()
-        links, label = np.zeros(len(rep)), np.arange(len(rep))
-        edge = np.append(np.flatnonzero(np.append(True, np.diff(home[stored_at]) != 0)), len(stored_at))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            held = stored_at[a:b]
-            c = int(home[held[0]])
-            at = int(np.searchsorted(lists, c))
-            asking = asking_at[index.reaches(unit[asking_at], home[asking_at], nearest[at : at + 1], lists[at : at + 1], limit)[:, 0]]
-            codes = np.frombuffer(b"".join(code[k] for k in held), np.uint8).reshape(len(held), -1)
-            slack = limit - 1e-5 - error[held]
-            y = unit[held]
-            step = max(16, min(2048, (1 << 20) // len(held)))
-            for i0 in range(0, len(asking), step):
-                some = asking[i0 : i0 + step]
-                x = unit[some]
-                i, j = np.nonzero(index.estimates(x, c, codes) >= slack)
-                ok = (side[some[i]] == 0) | (rep[some[i]] < rep[held[j]])  # inside a region each pair once
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                if len(i) * 8 > len(x) * len(y):
-                    exact = (x @ y.T)[i, j]
-                else:
-                    exact = np.concatenate([np.einsum("nd,nd->n", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
-                i, j = some[i[exact >= limit]], held[j[exact >= limit]]
-                links += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-                fresh = label[i] != label[j]
-                if fresh.any():
-                    before = np.flatnonzero(label != np.arange(len(rep)))
-                    label = stars(len(rep), np.append(i[fresh], before), np.append(j[fresh], label[before]))
-        some, joined = np.flatnonzero(links > 0), np.flatnonzero(label != np.arange(len(rep)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
-        yield pa.RecordBatch.from_arrays([pa.array(rep[joined]), pa.array(rep[label[joined]]), pa.nulls(len(joined), pa.int64())], ["a", "b", "links"])
-
-    out = stored(spark, met.mapInArrow(compare, "a long, b long, links long"), "vector-links")
-    drop_stored(spark, placed)
-    return out
+    return run
 
 
 def near_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
@@ -285,10 +345,10 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_
     rows = _classes(spark, vectors, id_col, vector_col)
     known = rows.where("key is not null and vec_id is not null")
     classes = stored(spark, known.groupBy("key", "dims").agg(F.min(F.struct("vec_id", "raw")).alias("c"), F.count(F.lit(1)).alias("copies")).select("key", "dims", F.col("c.vec_id").alias("rep"), "c.raw", "copies"), "vector-classes")
-    lengths = classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LENGTHS + 1).collect()
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
-    found = [_links(spark, classes.where(F.col("dims") == r.dims), r.n, limit, block) for r in lengths]
+    lengths = classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(INDEXED_LENGTHS + 1).collect()
+    found = [_links(spark, classes.where(F.col("dims") == r.dims), r.dims, r.n, limit, block) for r in lengths[:INDEXED_LENGTHS]]
+    if len(lengths) > INDEXED_LENGTHS:
+        found.append(_plain_links(spark, classes.where(~F.col("dims").isin([r.dims for r in lengths[:INDEXED_LENGTHS]])), limit, block))
     links = spark.createDataFrame([], "a long, b long, links long")
     for f in found:
         links = links.unionAll(f)
