@@ -1,8 +1,8 @@
 """Session plumbing shared by the whole library.
 
 * :func:`ship` makes the package importable on the Python workers of any
-  cluster (``sys.path`` edits of the driver do not reach them), and bounds the bytes
-  of the Arrow batches that they get.
+  cluster (``sys.path`` edits of the driver do not reach them), and bounds the
+  batches of texts that scans and workers hold.
 * :func:`shared_dir` is the folder every executor can read; it comes from
   ``spark.checkpoint.dir`` and is only made up where that setting is absent.
 * :func:`stored` cuts a lineage with a table written there.
@@ -18,16 +18,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch that goes to a Python worker, about: whole texts are long, and rows alone bound nothing.
-BATCH_BYTES = 4 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Whole texts are long, and rows alone bound nothing: bytes of an Arrow batch that goes to a Python worker, about, and rows of a scan's batch.
+_BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, and bound the Arrow batches of a session that sets no bound."""
-    if spark.conf.get(_BATCH_SETTING, None) is None:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    """Send this package to the executors, once for each application, and bound the batches of the session."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -40,6 +38,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds for batches of whole texts, where the application's settings have none."""
+    set_by_user = spark.sparkContext.getConf()
+    for key, value in _BOUNDS.items():
+        if not set_by_user.contains(key):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -55,6 +61,7 @@ def stored(spark: SparkSession, df: DataFrame, label: str, **options) -> DataFra
     A lost executor costs a re-read of this table, never a recomputation of
     what led to it. ``options`` go to the writer. The path is new on each call; :func:`drop_stored` removes it.
     """
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
