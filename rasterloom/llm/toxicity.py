@@ -4,13 +4,15 @@ Categories are predicted one after another by linear models over hashed features
 a later model also takes the logits of the earlier categories. It must learn from
 such predictions as it will meet, so in training these are out-of-fold: each
 labelled document's logit comes from a model that has seen neither it nor a copy of
-it (folds go by the text). A category's cutoff is the least inside
-:data:`CUTOFFS` at which out-of-fold false alarms stay within :data:`FALSE_ALARMS`.
+it (folds go by the text). A category's cutoff lies a little above the least one at
+which out-of-fold false alarms stay within :data:`FALSE_ALARMS`, and not below
+:data:`LEAST_CUTOFF`.
 
 Training uses a bounded sample of labelled rows, :data:`SAMPLE`, taken by a hash of
 the id; scoring is one pass over all whole texts and shuffles nothing.
 
-Defined results: a null text or one without words scores by its lack of features;
+Defined results: a null text or one without words scores by its lack of features; a
+very long text is scored whole, in pieces of bounded size, white space or not;
 null labels leave their row out of training; without both classes in the labels a
 category's probability is its rate and nothing is rejected; rows that repeat score
 alike; an empty table gives no rows; other columns are ignored by :func:`score` and
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ from rasterloom.session import ship
 SAMPLE = 12_000
 FOLDS = 4
 FALSE_ALARMS = 0.001
-CUTOFFS = (0.2, 0.6)
+LEAST_CUTOFF = 0.2
 #: Chain over the labels table: name, label column, value that is the category.
 CHAIN = (("poor", "quality", 0), ("toxic", "toxic", 1))
 
@@ -42,12 +45,12 @@ class Chain:
     def __init__(self, names: list[str], models: list[linear.Model], cutoffs: list[float]):
         self.names, self.models, self.cutoffs = names, models, cutoffs
 
-    def probabilities(self, logits: list[float]) -> list[float]:
-        """Category after category, each with the logits of those before."""
-        done: list[float] = []
-        for model, z in zip(self.models, logits, strict=True):
-            done.append(z + float(np.dot(model.dense, np.clip(done, -8, 8))) if done else z)
-        return [float(linear.sigmoid(np.float64(z))) for z in done]
+    def probabilities(self, logits: np.ndarray) -> np.ndarray:
+        """A column for each category, each predicted with the logits of those before."""
+        done = np.zeros((len(logits), 0))
+        for k, model in enumerate(self.models):
+            done = np.column_stack([done, logits[:, k] + np.clip(done, -8, 8) @ model.dense])
+        return linear.sigmoid(done)
 
 
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, names: list[str]) -> Chain:
@@ -59,36 +62,39 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, name
         for f in range(FOLDS):
             train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             m = linear.fit([rows[i] for i in train], y[train], before[train])
-            held[test] = [m.logit(rows[i].tolist()) for i in test] + before[test] @ m.dense
+            held[test] = m.logits([rows[i] for i in test]) + before[test] @ m.dense
         models.append(linear.fit(rows, y, before))
         clean = np.sort(linear.sigmoid(held[y == 0]))
         alarm = float(clean[min(len(clean) - 1, int((1 - FALSE_ALARMS) * len(clean)))]) if len(clean) else 1.0
-        cutoffs.append(float(np.clip(1.1 * alarm, *CUTOFFS)) if len(clean) and y.any() else 2.0)
+        cutoffs.append(max(LEAST_CUTOFF, alarm + 0.1 * min(alarm, 1 - alarm)) if len(clean) and y.any() else 2.0)
         before = np.column_stack([before, np.clip(held, -8, 8)])
     return Chain(names, models, cutoffs)
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, picked: DataFrame, columns: list[str], id_col: str, text_col: str):
-    """(features, columns, fold) of the picked rows, which are bounded: their features come to the driver."""
-    import pyarrow as pa
+    """(features, columns, fold) of the picked ids, which are bounded: their features come to the driver.
 
+    An id that several rows hold counts once, with the least of their feature lists.
+    """
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = linear.Features().of
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                rows = [of(t.as_py()) for t in batch.column("text")]
-                flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
-                yield pa.RecordBatch.from_arrays([flat, *[batch.column(c) for c in (*columns, "fold")]], ["features", *columns, "fold"])
+                row, feature = linear.features(batch.column("text"))
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))
+                yield pa.RecordBatch.from_arrays([flat, *[batch.column(c) for c in ("id", *columns, "fold")]], ["features", "id", *columns, "fold"])
 
     picked = F.broadcast(picked.select(F.col("doc_id").alias("_p_id"), *[F.col(c).cast("double").alias(f"_p_{c}") for c in columns]))  # a bounded sample
     joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("_p_id"))
-    rows = joined.select("text", *[F.col(f"_p_{c}").alias(c) for c in columns], F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = joined.select("text", F.col("_p_id").cast("string").alias("id"), *[F.col(f"_p_{c}").alias(c) for c in columns], F.pmod(F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"))
+    made = rows.mapInArrow(run, "features array<int>, id string, " + ", ".join(f"{c} double" for c in columns) + ", fold int")
+    one = made.groupBy("id").agg(F.min(F.struct("features", *columns, "fold")).alias("r")).select("r.*")
     # the scan's order is no property of the data: the rows are put in one of their own
-    table = rows.mapInArrow(run, "features array<int>, " + ", ".join(f"{c} double" for c in columns) + ", fold int").toArrow()
-    features = [np.sort(np.asarray(x.values)) for x in table.column("features")]
+    table = one.toArrow()
+    features = [np.asarray(x.values) for x in table.column("features")]
     values = np.column_stack([table.column(c).to_numpy() for c in columns])
     order = sorted(range(len(features)), key=lambda i: (len(features[i]), features[i].tobytes(), values[i].tobytes()))
     fold = table.column("fold").to_numpy()
@@ -96,10 +102,10 @@ def training_rows(spark: SparkSession, docs: DataFrame, picked: DataFrame, colum
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows and never more, by a hash of the id: the same rows each time, whatever the partitions."""
+    """About ``most`` of the rows, one for each doc_id, and never more, by a hash of the id: the same rows each time, whatever the partitions."""
     n = rows.count()
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    return rows.where(place < int((1 << 30) * min(1.0, 0.95 * most / max(1, n)))).limit(most) if n > most else rows
+    return rows.where(place < int((1 << 30) * min(1.0, 0.95 * most / max(1, n)))).orderBy(place, "doc_id").limit(most) if n > most else rows
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chain=CHAIN, sample: int = SAMPLE) -> Chain:
@@ -131,14 +137,12 @@ def _scorer(key: bytes):
 def _scoring(model: Chain, carry: list[str]):
     import pickle
 
-    import pyarrow as pa
-
     key = pickle.dumps(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, scorer = _scorer(key)
         for batch in batches:
-            p = np.array([chain.probabilities(scorer.logits(t.as_py())) for t in batch.column("text")]).reshape(-1, len(chain.names))
+            p = chain.probabilities(scorer.logits(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in carry], *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= chain.cutoffs[-1])],
                 [*carry, *[f"p_{n}" for n in chain.names], "rejected"],
@@ -151,13 +155,12 @@ def reject(spark: SparkSession, docs: DataFrame, model: Chain, *, text_col: str
     """``docs`` without the rows that the last category rejects; the verdict is a column for a moment and moves no text."""
     import pickle
 
-    import pandas as pd
-
     ship(spark)
     key = pickle.dumps(model)
 
-    def clean(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         chain, scorer = _scorer(key)
-        return pd.Series([chain.probabilities(scorer.logits(t))[-1] < chain.cutoffs[-1] for t in texts], dtype=bool)
+        return pa.array(chain.probabilities(scorer.logits(texts))[:, -1] < chain.cutoffs[-1])
 
-    return docs.where(F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR)(F.col(text_col).cast("string")))
+    return docs.where(clean(F.col(text_col).cast("string")))

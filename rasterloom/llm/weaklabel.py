@@ -9,7 +9,9 @@ pattern. A hashed linear scorer then learns the posteriors on a bounded sample,
 targets share is found as well. Two passes over the texts; only vote counts are
 shuffled.
 
-Defined results: a null text or one without words gets the votes of an empty text;
+Defined results: a null text or one without words gets the votes of an empty text; a
+very long text is read whole, in pieces of bounded size (what spans a cut between two
+pieces counts in both);
 rows that repeat score alike; an empty table gives no rows; other columns are
 ignored.
 """
@@ -23,55 +25,80 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import linear
+from rasterloom.llm import bytescan, linear
 from rasterloom.llm.toxicity import bounded, training_rows
-from rasterloom.session import drop_stored, ship, stored
+from rasterloom.session import ship
 
 #: Documents that train the scorer, at most.
 SAMPLE = 12_000
 GOOD, BAD, NONE = 1, 2, 0
 SYMBOLS = "#*$%&|<>"
-_SYMBOL_TABLE = dict.fromkeys(map(ord, SYMBOLS))
-_ODD_TABLE = dict.fromkeys(map(ord, SYMBOLS + "!0123456789"))
 #: Rounds of expectation maximisation; it stops before when nothing moves.
 ROUNDS = 200
 #: A text is kept from this probability of being good on.
 CUTOFF = 0.5
 
 
-def votes(text: str | None) -> tuple[int, ...]:
-    """Each heuristic's vote on a text, in the order of :data:`NAMES`.
-
-    Six look for one defect each and are silent without it; three judge the text
-    as a whole and may call it good.
-    """
-    text = text or ""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return (NONE,) * 8 + (BAD,)
-    lines = [x for x in text.split("\n") if x.strip()]
-    repeats = len(lines) - len(set(lines))
-    symbols = (len(text) - len(text.translate(_SYMBOL_TABLE))) / n
-    odd = (len(text) - len(text.translate(_ODD_TABLE))) / len(text)
-    marks = sum([not w[-1].isalnum() and not w[-2:-1].isalnum() for w in words]) / n
-    capitals = sum(map(str.isupper, words)) / n
-    shouts = text.count("!") / n
-    stutter = sum(map(str.__eq__, words, words[1:])) / n
-    different = len(set(words)) / n**0.9
-    stops = (text.count(".") + text.count("?")) / n
-    vote = lambda bad, good=False: BAD if bad else GOOD if good else NONE
-    return (
-        vote(symbols > 0.3),
-        vote(marks > 0.3),
-        vote(capitals > 0.4),
-        vote(shouts > 0.3),
-        vote(stutter > 0.3),
-        vote(len(lines) >= 4 and repeats > 0.6 * len(lines)),
-        vote(odd > 0.3, odd < 0.03),
-        vote(n >= 40 and stutter > 0.15, stutter < 0.08 and different > 0.4),
-        vote(n < 2, capitals < 0.2 and 0.01 < stops < 0.5 and n >= 5),
-    )
+class Tally:
+    """What the heuristics look at, gathered from the pieces of a batch of texts."""
+
+    def __init__(self, n: int):
+        zero = lambda: np.zeros(n, np.int64)
+        self.chars, self.chunks, self.symbols, self.odd, self.marks = zero(), zero(), zero(), zero(), zero()
+        self.capitals, self.shouts, self.stutters, self.stops, self.lines = zero(), zero(), zero(), zero(), zero()
+        self.distinct, self.distinct_lines = bytescan.Distinct(n), bytescan.Distinct(n)
+
+    def watch(self, p: bytescan.Piece, marks: np.ndarray) -> None:
+        """marks: the hashes of the piece's chunks."""
+        at, a, b = p.rows, p.starts, p.ends
+        self.chars[at] += p.per_segment(np.flatnonzero((p.flat & 0xC0) != 0x80))
+        self.chunks[at] += p.per_segment(a)
+        self.symbols[at] += p.count(*SYMBOLS.encode())
+        self.odd[at] += p.count(*(SYMBOLS + "!0123456789").encode())
+        self.shouts[at] += p.count(ord("!"))
+        self.stops[at] += p.count(ord("."), ord("?"))
+        self.capitals[at] += p.per_segment(a[linear.capitals(p)])
+        if len(a):
+            ends_odd = (p.kind[b - 1] == bytescan.MARK) & ((b - a == 1) | (p.kind[b - 2] == bytescan.MARK))
+            self.marks[at] += p.per_segment(a[ends_odd])
+            again = np.flatnonzero(marks[1:] == marks[:-1])
+            again = again[p.segment(a[again]) == p.segment(a[again + 1])]
+            self.stutters[at] += p.per_segment(a[again])
+        self.distinct.add(p, a, marks)
+        begin, end = p.runs(p.flat != 10)
+        first = np.searchsorted(a, begin)  # a line counts if a chunk begins in it: chunks never span lines
+        full = (first < len(a)) & (np.append(a, len(p.flat))[first] < end)
+        self.lines[at] += p.per_segment(begin[full])
+        self.distinct_lines.add(p, begin[full], p.hashes(begin[full], end[full]))
+
+    def votes(self) -> np.ndarray:
+        """Each heuristic's vote on each text, in the order of :data:`NAMES`.
+
+        Six look for one defect each and are silent without it; three judge the text
+        as a whole and may call it good.
+        """
+        n = np.maximum(self.chunks, 1)
+        repeats = self.lines - self.distinct_lines.counts
+        odd = self.odd / np.maximum(self.chars, 1)
+        capitals, stutter, stops = self.capitals / n, self.stutters / n, self.stops / n
+        different = self.distinct.counts / n**0.9
+        bad = np.stack([
+            self.symbols > 0.3 * n, self.marks > 0.3 * n, capitals > 0.4, self.shouts > 0.3 * n, stutter > 0.3, (self.lines >= 4) & (repeats > 0.6 * self.lines),
+            odd > 0.3, (self.chunks >= 40) & (stutter > 0.15), self.chunks < 2,
+        ], axis=1)
+        good = np.zeros_like(bad)
+        good[:, DETECTORS:] = np.stack([odd < 0.03, (stutter < 0.08) & (different > 0.4), (capitals < 0.2) & (stops > 0.01) & (stops < 0.5) & (self.chunks >= 5)], axis=1)
+        out = np.where(bad, BAD, np.where(good, GOOD, NONE))
+        out[self.chunks == 0] = [NONE] * (len(NAMES) - 1) + [BAD]
+        return out
+
+
+def votes(column) -> np.ndarray:
+    """A row of votes for each text of an Arrow column."""
+    tally = Tally(len(column))
+    for p in bytescan.pieces(column):
+        tally.watch(p, p.hashes(p.starts, p.ends))
+    return tally.votes()
 
 
 NAMES = ("symbols", "marks", "capitals", "shouts", "stutter", "repeated_lines", "plain_characters", "variety", "sentences")
@@ -79,8 +106,8 @@ NAMES = ("symbols", "marks", "capitals", "shouts", "stutter", "repeated_lines",
 DETECTORS = 6
 
 
-def code_of(v: tuple[int, ...]) -> int:
-    return sum(x * 3**k for k, x in enumerate(v))
+def codes_of(v: np.ndarray) -> np.ndarray:
+    return v @ 3 ** np.arange(len(NAMES))
 
 
 def votes_of(code: int) -> list[int]:
@@ -140,18 +167,21 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([code_of(votes(t.as_py())) for t in batch.column("text")], pa.int32())], ["doc_id", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes_of(votes(batch.column("text"))), pa.int32())], ["doc_id", "code"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    coded = stored(spark, rows.mapInArrow(run, "doc_id long, code int"), "votes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    coded = rows.mapInArrow(run, f"doc_id {kind}, code int")
     table = sorted(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3 ** 9 rows
     patterns = np.array([votes_of(r.code) for r in table], int).reshape(-1, len(NAMES))
     model = expectation_maximisation(patterns, np.array([r.n for r in table], float))
     good = model.posterior(patterns) if len(table) else np.zeros(0)
     posteriors = spark.createDataFrame([(r.code, float(p)) for r, p in zip(table, good, strict=True)], "code int, good double")
-    picked = bounded(coded.where("doc_id is not null").groupBy("doc_id").agg(F.min("code").alias("code")), sample).join(F.broadcast(posteriors), "code")
+    # only the sample's texts are voted on again
+    ids = F.broadcast(bounded(rows.where("doc_id is not null").select("doc_id").distinct(), sample).withColumnRenamed("doc_id", "_s_id"))
+    again = rows.join(ids, F.col("doc_id") == F.col("_s_id"), "left_semi").mapInArrow(run, f"doc_id {kind}, code int")
+    picked = again.groupBy("doc_id").agg(F.min("code").alias("code")).join(F.broadcast(posteriors), "code")
     features, values, _ = training_rows(spark, docs, picked, ["good"], id_col, text_col)
-    drop_stored(spark, coded)
     return model, linear.fit(features, values[:, 0])
 
 
@@ -176,11 +206,13 @@ def score(spark: SparkSession, docs: DataFrame, label_model: LabelModel, model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, posteriors = _scorer(key)
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            v = [votes(t) for t in texts]
-            s = linear.sigmoid(np.array([scorer.logits(t)[0] for t in texts]))
+            tally = Tally(batch.num_rows)
+            s = linear.sigmoid(scorer.logits(batch.column("text"), tally.watch)[:, 0])
+            v = tally.votes()
+            letters = np.frombuffer(b"-gb", np.uint8)[v].tobytes().decode()
+            shown = [letters[k : k + len(NAMES)] for k in range(0, len(letters), len(NAMES))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(["".join("-gb"[x] for x in y) for y in v], pa.string()), pa.array(posteriors[[code_of(x) for x in v]]), pa.array(s), pa.array(s >= CUTOFF)],
+                [batch.column("doc_id"), pa.array(shown, pa.string()), pa.array(posteriors[codes_of(v)]), pa.array(s), pa.array(s >= CUTOFF)],
                 ["doc_id", "votes", "posterior", "score", "kept"],
             )
 
