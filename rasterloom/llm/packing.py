@@ -1,10 +1,12 @@
 """Packing token ids into sequences by a deficit round robin over source queues.
 
-Every source is a queue of its documents' ids. The queues' shares of all ids are
-the target proportions: with these, all queues run dry together and only the last
-sequence needs padding. Each window of ``length`` ids visits the sources in order,
-and a source gives its share of the window plus what it is owed; the part of an id
-that a share leaves over is its deficit and carries to the next window.
+Every source is a queue of its documents' ids. The target proportions are given as
+weights of the sources; without them they are the queues' shares of all ids, so that
+all queues run dry together. Each window of ``length`` ids visits the sources in
+order, and a source gives its share of the window plus what it is owed; the part of
+an id that a share leaves over is its deficit and carries to the next window. With
+weights, a phase ends where a queue runs dry and the rest share what follows by
+their weights. Only the last sequence needs padding.
 
 The deficits need no pass from window to window. Let ``served(k, w)`` be the ids
 that the first k sources have given after w windows. For all sources together it
@@ -19,15 +21,18 @@ in the queues of their sources, and a small table of (task, source) totals gives
 each of them its place.
 
 Defined results: a null text is an empty document, of the end id alone; a null
-source is a queue of its own, the last; rows that repeat are packed once each; an
-empty table gives no pieces; other columns are ignored.
+source is a queue of its own, the last; of more than :data:`QUEUES` sources the
+largest have queues of their own and the others share :data:`SHARED` queues by a hash,
+so proportions hold for these queues; a very long text is encoded whole, in pieces
+where it has white space; rows that repeat are packed once each; an empty table gives
+no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -39,10 +44,10 @@ from rasterloom.llm import tokens
 from rasterloom.session import ship, stored
 
 LENGTH = 2048
-#: Windows of a block: LENGTH * BLOCK squared stays below 2**63.
-BLOCK = 4096
-#: Queues are a dimension of configuration.
-MAX_SOURCES = 10_000
+#: Windows of a block: LENGTH * BLOCK squared stays below 2**63; numbers in a block's table, at most about.
+BLOCK, TABLE = 4096, 1 << 18
+#: The largest sources have queues of their own, others share queues.
+QUEUES, SHARED = 1000, 24
 #: (task, source) places are broadcast up to this many (about 32 bytes each).
 BROADCAST_PLACES = 1_000_000
 
@@ -51,9 +56,9 @@ class Schedule:
     """Which window, and where in it, every id of every queue goes to."""
 
     def __init__(self, sizes: list[int], length: int = LENGTH, block: int = BLOCK):
-        self.sizes, self.length, self.block = sizes, length, block
+        self.sizes, self.length, self.block = sizes, length, max(1, min(block, TABLE // (len(sizes) + 1)))
         self.total = sum(sizes)
-        self.step = length * block
+        self.step = length * self.block
         self.edge = lru_cache(maxsize=64)(self._edge)
         self.table = lru_cache(maxsize=8)(self._table)
 
@@ -105,6 +110,45 @@ class Schedule:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+class Phases:
+    """The schedules of all phases, one behind the other: within a phase each queue gives by its weight."""
+
+    def __init__(self, sizes: list[int], weights: list[float] | None = None, length: int = LENGTH, block: int = BLOCK):
+        self.length = length
+        self.starts, self.before, self.schedules = [0], [[0] * len(sizes)], []
+        left = list(sizes)
+        while any(left):
+            active = [k for k, n in enumerate(left) if n and (weights is None or weights[k] > 0)]
+            if weights is None or not active:  # queues without weight come last, by their shares
+                given = left
+            else:
+                dry = min(active, key=lambda k: left[k] / weights[k])
+                given = [min(left[k], int(left[dry] * weights[k] / weights[dry])) if k in set(active) else 0 for k in range(len(left))]
+                given[dry] = left[dry]
+            self.schedules.append(Schedule(given, length, block))
+            self.starts.append(self.starts[-1] + sum(given))
+            self.before.append([a + b for a, b in zip(self.before[-1], given, strict=True)])
+            left = [a - b for a, b in zip(left, given, strict=True)]
+
+    def pieces(self, queue: int, start: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids start .. start+count of a queue: (lengths, sequences, offsets) of its pieces, in order."""
+        found, end = [], start + count
+        for p, plan in enumerate(self.schedules):
+            a, b = max(start, self.before[p][queue]), min(end, self.before[p + 1][queue])
+            if a >= b:
+                continue
+            lengths, windows, offsets = plan.pieces(queue, a - self.before[p][queue], b - a)
+            at = self.starts[p] + windows * self.length + offsets
+            over = at % self.length + lengths - self.length  # a phase may begin inside a sequence
+            if (over > 0).any():
+                two = np.flatnonzero(over > 0)
+                place = np.insert(at, two + 1, (at + lengths - over)[two])
+                lengths = np.insert(np.where(over > 0, lengths - over, lengths), two + 1, over[two])
+                at = place
+            found.append((lengths, at // self.length, at % self.length))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str) -> DataFrame:
     """part, doc_id, source, first (ids of its source before it in its task), n, ids: a stored table."""
     import pyarrow as pa
@@ -112,16 +156,16 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, so
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, queued = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for k, texts in tokens.in_pieces(batch.column("text")):
-                packed = tokens.encoder(path).encode(texts)
+            for k, texts in tokens.runs(batch.column("text")):
+                ids, ends = tokens.encoder(path).encode(texts)
                 keys, sources = batch.column("doc_id").slice(k, len(texts)), batch.column("source").slice(k, len(texts))
-                n = np.array([len(p) // 4 for p in packed], np.int64)
+                n = np.diff(ends, prepend=0)
                 first = np.empty(len(n), np.int64)
-                for i, s in enumerate(sources.to_pylist()):
+                for i, (s, size) in enumerate(zip(sources.to_pylist(), n.tolist(), strict=True)):
                     first[i] = queued[s]
-                    queued[s] += n[i]
+                    queued[s] += size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), keys, sources, pa.array(first), pa.array(n), pa.array(map(narrow, packed), pa.binary())],
+                    [pa.array(np.full(len(n), part, np.int32)), keys, sources, pa.array(first), pa.array(n), tokens.packed_lists(ids, ends)],
                     ["part", "doc_id", "source", "first", "n", "ids"],
                 )
 
@@ -129,48 +173,55 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, so
     return stored(spark, rows.mapInArrow(encode, "part int, doc_id long, source string, first long, n long, ids binary"), "packing-ids")
 
 
-def narrow(packed: bytes) -> bytes:
-    """Ids below 65536 as 2 bytes each, after a mark of the width."""
-    ids = np.frombuffer(packed, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if ids.max(initial=0) < 65536 else b"\x04" + packed
-
-
-def widen(stored_ids: bytes) -> bytes:
-    return np.frombuffer(stored_ids, f"<u{stored_ids[0]}", offset=1).astype("<u4").tobytes()
-
-
-def pack(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; its ids too, if asked for."""
+def queues_of(spark: SparkSession, per_task: DataFrame, weights: Mapping[str | None, float] | None) -> tuple[DataFrame, list[int], list[float] | None]:
+    """(part, source) places in the queues, the queues' sizes and weights."""
+    per_source = per_task.groupBy("source").agg(F.sum("n").alias("n"))
+    named = per_source.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(QUEUES).collect()
+    named.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+    number = spark.createDataFrame([(r.source, k) for k, r in enumerate(named)], "_q_source string, queue int")
+    rows = per_task.join(F.broadcast(number), F.col("source").eqNullSafe(F.col("_q_source")), "left")  # QUEUES rows at most
+    shared = F.lit(len(named)) + F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int")
+    rows = rows.select("part", "source", "n", F.coalesce("queue", shared).alias("queue"))
+    per_queue = {r.queue: r.n for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # QUEUES + SHARED rows at most
+    sizes = [per_queue.get(k, 0) for k in range(max(per_queue, default=-1) + 1)]
+    weigh = None if weights is None else [float(weights.get(named[k].source, 1.0)) if k < len(named) else 1.0 for k in range(len(sizes))]
+    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(F.col("part").alias("p_part"), F.col("source").alias("p_source"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("queued")), sizes, weigh
+
+
+def pack(
+    spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str | None = None,
+    length: int = LENGTH, weights: Mapping[str | None, float] | None = None, with_ids: bool = False,
+) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; its ids too, if asked for.
+
+    weights: of the sources, 1 where a source is not named; without them each weighs its share of all ids.
+    """
     import pyarrow as pa
 
     ship(spark)
-    ids = encoded(spark, docs, id_col, text_col, source_col, vocabulary or tokens.vocabulary())
+    path = vocabulary or tokens.vocabulary()
+    kind = tokens.vocabulary_type(path)
+    ids = encoded(spark, docs, id_col, text_col, source_col, path)
     per_task = ids.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    totals = per_task.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes = [r.n for r in totals]
-    queue_of = {r.source: k for k, r in enumerate(totals)}
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = per_task.select(F.col("part").alias("p_part"), F.col("source").alias("p_source"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("queued"))
+    places, sizes, weigh = queues_of(spark, per_task, weights)
     if per_task.count() <= BROADCAST_PLACES:
         places = F.broadcast(places)
     rows = ids.join(places, (F.col("part") == F.col("p_part")) & F.col("source").eqNullSafe(F.col("p_source")))
-    rows = rows.select("doc_id", "source", (F.col("queued") + F.col("first")).alias("at"), "n", "ids")
+    rows = rows.select("doc_id", "queue", (F.col("queued") + F.col("first")).alias("at"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Schedule(sizes, length)
+        plan = Phases(sizes, weigh, length)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 yield pieces_of(plan, batch.slice(k, 512))
 
-    def pieces_of(plan: Schedule, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def pieces_of(plan: Phases, batch: pa.RecordBatch) -> pa.RecordBatch:
         col = {c: batch.column(c) for c in batch.schema.names}
-        sources, at, counts = col["source"].to_pylist(), col["at"].to_pylist(), col["n"].to_pylist()
-        where, crc, own = [plan.pieces(queue_of[s], a, n) for s, a, n in zip(sources, at, counts, strict=True)], [], []
+        queues, at, counts = col["queue"].to_pylist(), col["at"].to_pylist(), col["n"].to_pylist()
+        where, crc, own = [plan.pieces(q, a, n) for q, a, n in zip(queues, at, counts, strict=True)], [], []
         for (lengths, _, _), raw in zip(where, col["ids"], strict=True):
-            packed, edge = memoryview(widen(raw.as_py())), 0
+            packed, edge = memoryview(np.frombuffer(raw.as_buffer(), kind).astype("<u4").tobytes()), 0
             for n in (lengths * 4).tolist():
                 crc.append(zlib.crc32(packed[edge : edge + n]))
                 if with_ids:

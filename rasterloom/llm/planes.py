@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import tokens
+from rasterloom.llm.prefix import starts
 from rasterloom.session import ship, stored
 
 MAGIC = b"PLN1"
@@ -72,14 +73,14 @@ def from_planes(planes: list[bytes], n: int, width: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
-def write_segment(doc_ids: list[int | None], ids: list[bytes], width: int = 8, block: int = BLOCK) -> bytes:
-    """One file image from documents' packed ids."""
+def write_segment(doc_ids: list[int | None], ids: list[np.ndarray], width: int = 8, block: int = BLOCK) -> bytes:
+    """One file image from documents' ids."""
     import zstandard
 
     z = zstandard.ZstdCompressor(level=LEVEL)
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    flat = np.concatenate([np.zeros(0, "<u4"), *ids]).astype("<u4")
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    index = z.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.array([len(b) // 4 for b in ids], "<u8").tobytes())
+    index = z.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + np.array([len(x) for x in ids], "<u8").tobytes())
     parts, chunks = [b"", index], []
     at = _HEAD.size + len(index)
     for first in range(0, len(flat), block):
@@ -147,11 +148,12 @@ def write_ids(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", t
 
         for batch in batches:
             keys = batch.column("doc_id")
-            for first, texts in tokens.in_pieces(batch.column("text")):
-                for k, packed in enumerate(tokens.encoder(path).encode(texts)):
-                    held.append(keys[first + k].as_py())
-                    ids.append(packed)
-                    size += len(packed) // 4
+            for first, texts in tokens.runs(batch.column("text")):
+                flat, ends = tokens.encoder(path).encode(texts)
+                for key, a, b in zip(keys.slice(first, len(texts)).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    held.append(key)
+                    ids.append(flat[a:b])
+                    size += b - a
                     if size >= segment_ids:
                         yield row()
                         seq, held, ids, size = seq + 1, [], [], 0
@@ -185,8 +187,10 @@ def read_documents(spark: SparkSession, segments: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = starts(segments.groupBy(F.col("part").alias("_p_part")).agg(F.sum("n_ids").alias("n")), "_p_part", "n").select("_p_part", "start")
+    inside = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("inside"))
+    places = inside.join(of_part, F.col("part") == F.col("_p_part")).select("part", "seq", (F.col("start") + F.col("inside")).alias("base"))
     if segments.select("part").count() <= BROADCAST_SEGMENTS:
         places = F.broadcast(places)
     rows = segments.join(places, ["part", "seq"]).select("base", "image")
