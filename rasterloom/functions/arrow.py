@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,15 @@ from pyspark.sql import types as T
 from rasterloom.functions import container, kernels, pnm
 from rasterloom.session import ship
 
-#: Bytes of output that a stage gathers before it passes them on.
+#: Bytes of output that a stage gathers before it passes them on; rows and bytes of input that a kernel gets at once.
 SLICE_BYTES = 16 << 20
+AT_ONCE, AT_ONCE_BYTES = 1024, 2 << 20
 META = ("width", "height", "bpp", "channels", "bpp_internal", "ch_internal", "configuration")
 META_SCHEMA = "width long, height long, bpp int, channels int, bpp_internal int, ch_internal int, configuration int"
 
 
-def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one: Callable) -> DataFrame:
-    """mapInArrow that applies ``one(values of a row) -> tuple of outputs`` and carries ``keys``."""
+def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one: Callable | None = None, many: Callable | None = None) -> DataFrame:
+    """mapInArrow that applies ``one(values of a row) -> tuple of outputs``, or ``many`` to a list of rows, and carries ``keys``."""
     import pyarrow as pa
 
     ship(df.sparkSession)
@@ -44,9 +46,15 @@ def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one:
                 made = [pa.array(x, arrow.field(len(keys) + i).type) for i, x in enumerate(zip(*done, strict=True))]
                 return pa.RecordBatch.from_arrays([batch.column(c).slice(first, end - first).cast(arrow.field(c).type) for c in keys] + made, schema=arrow)
 
+            taken, heavy = [], 0
             for row in range(batch.num_rows):
-                done.append(one(*[c[row].as_py() for c in columns]))
-                size += sum(len(x) for x in done[-1] if isinstance(x, bytes))
+                taken.append([c[row].as_py() for c in columns])
+                heavy += sum(len(x) for x in taken[-1] if isinstance(x, bytes))
+                if len(taken) < (AT_ONCE if many else 1) and heavy < AT_ONCE_BYTES and row + 1 < batch.num_rows:
+                    continue
+                done += many(taken) if many else [one(*x) for x in taken]
+                size += sum(len(x) for made in done[-len(taken) :] for x in made if isinstance(x, bytes))
+                taken, heavy = [], 0
                 if size >= SLICE_BYTES:
                     yield flush(row + 1)
                     done, first, size = [], row + 1, 0
@@ -56,35 +64,37 @@ def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one:
     return df.select(*dict.fromkeys([*keys, *inputs])).mapInArrow(run, schema)
 
 
-def _encode_row(pixels, width, height, bpp, channels, configuration):
-    try:
-        return container.encode(pixels or b"", width or 0, height or 0, bpp or 0, channels or 0, configuration or container.USE_COMPRESSION), None
-    except ValueError as e:
-        return None, str(e)
+def _encode_rows(rows):
+    images = [(bytes(p or b""), w or 0, h or 0, bpp or 0, c or 0, flags or container.USE_COMPRESSION) for p, w, h, bpp, c, flags in rows]
+    return [(None, str(x)) if isinstance(x, ValueError) else (x, None) for x in container.encode_many(images)]
 
 
 def encode_images(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, content, error from width, height, bpp, channels, configuration, pixels."""
-    return _stage(df, keys, ["pixels", "width", "height", "bpp", "channels", "configuration"], "content binary, error string", _encode_row)
+    return _stage(df, keys, ["pixels", "width", "height", "bpp", "channels", "configuration"], "content binary, error string", many=_encode_rows)
 
 
-def _decode_row(content):
-    try:
-        return (*container.decode(content), None)
-    except container.Damaged as e:
-        return (None,) * 8 + (e.reason,)
+def _decode_rows(rows):
+    return [(None,) * 8 + (x.reason,) if isinstance(x, container.Damaged) else (*x, None) for x in container.decode_many([c for (c,) in rows])]
 
 
 def decode_images(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, the seven metadata columns, pixels, reason (null where the container is sound)."""
-    return _stage(df, keys, [content], f"{META_SCHEMA}, pixels binary, reason string", _decode_row)
+    return _stage(df, keys, [content], f"{META_SCHEMA}, pixels binary, reason string", many=_decode_rows)
 
 
-def _info_row(content):
-    try:
-        return (*container.decode(content, pixels=False)[:7], None)
-    except container.Damaged as e:
-        return (None,) * 7 + (e.reason,)
+def map_images(df: DataFrame, keys: list[str], function: Callable, outputs: str, content: str = "content") -> DataFrame:
+    """keys, what ``function(image) -> tuple`` makes of each decoded image, reason: only that leaves the worker, not the pixels."""
+    n = len(df.sparkSession.createDataFrame([], outputs).schema)
+
+    def rows(taken):
+        return [(None,) * n + (x.reason,) if isinstance(x, container.Damaged) else (*function(x), None) for x in container.decode_many([c for (c,) in taken])]
+
+    return _stage(df, keys, [content], f"{outputs}, reason string", many=rows)
+
+
+def _info_rows(rows):
+    return [(None,) * 7 + (x.reason,) if isinstance(x, container.Damaged) else (*x[:7], None) for x in container.decode_many([c for (c,) in rows], pixels=False)]
 
 
 def _peek_row(content):
@@ -96,8 +106,9 @@ def _peek_row(content):
 
 
 def info_images(df: DataFrame, keys: list[str], content: str = "content", verify: bool = True) -> DataFrame:
-    """keys, the seven metadata columns, reason. verify=False reads 40 bytes of each container."""
-    return _stage(df, keys, [content], f"{META_SCHEMA}, reason string", _info_row if verify else _peek_row)
+    """keys, the seven metadata columns, reason. verify=False decompresses no more than the header of each container."""
+    outputs = f"{META_SCHEMA}, reason string"
+    return _stage(df, keys, [content], outputs, many=_info_rows) if verify else _stage(df, keys, [content], outputs, _peek_row)
 
 
 def _header_row(content):
@@ -136,6 +147,21 @@ def write_pnm(df: DataFrame, keys: list[str]) -> DataFrame:
     return _stage(df, keys, ["pixels", "width", "height", "bpp", "channels"], "content binary, error string", _pnm_bytes)
 
 
+def _picture_row(width, height, channels, data):
+    if data is None or channels not in (1, 3, 4) or len(data) != width * height * channels or not data:
+        return None, None, None, None, None, "picture"
+    samples = np.frombuffer(data, np.uint8).reshape(-1, channels)
+    if channels > 1:
+        samples = samples[:, 2::-1]
+    return width, height, 8, min(channels, 3), samples.tobytes(), None
+
+
+def from_pictures(df: DataFrame) -> DataFrame:
+    """path, width, height, bpp, channels, pixels, reason from rows of the image source: origin, width, height, nChannels, data (blue first)."""
+    rows = df.withColumnRenamed("origin", "path")
+    return _stage(rows, ["path"], ["width", "height", "nChannels", "data"], "width long, height long, bpp int, channels int, pixels binary, reason string", _picture_row)
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions: rl_encode, rl_decode, rl_info, rl_checksum, and the table function rl_pixels."""
     ship(spark)
@@ -145,19 +171,24 @@ def register(spark: SparkSession) -> None:
 
 
 def _checksums(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else kernels.checksum(bytes(b)))
+    out, known = pd.Series([None] * len(raw), dtype="Int64"), np.flatnonzero(raw.notna().to_numpy())
+    size = np.cumsum([len(raw.iat[i]) for i in known])
+    for part in np.split(known, np.flatnonzero(np.diff(size // AT_ONCE_BYTES)) + 1) if len(known) else []:
+        out.iloc[part] = kernels.checksums([bytes(raw.iat[i]) for i in part])
+    return out
 
 
 def _encoded(pixels: pd.Series, width: pd.Series, height: pd.Series, bpp: pd.Series, channels: pd.Series, configuration: pd.Series) -> pd.Series:
-    return pd.Series([_encode_row(bytes(p) if p is not None else None, *map(int, r))[0] for p, *r in zip(pixels, width, height, bpp, channels, configuration, strict=True)], dtype=object)
+    rows = [(None if p is None else bytes(p), *map(int, r)) for p, *r in zip(pixels, width, height, bpp, channels, configuration, strict=True)]
+    return pd.Series([content for content, _ in _encode_rows(rows)], dtype=object)
 
 
 def _decoded(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_decode_row(None if c is None else bytes(c)) for c in content], columns=[*META, "pixels", "reason"])
+    return pd.DataFrame(_decode_rows([(None if c is None else bytes(c),) for c in content]), columns=[*META, "pixels", "reason"])
 
 
 def _informed(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_info_row(None if c is None else bytes(c)) for c in content], columns=[*META, "reason"])
+    return pd.DataFrame(_info_rows([(None if c is None else bytes(c),) for c in content]), columns=[*META, "reason"])
 
 
 # types as objects: text would need a running session at import

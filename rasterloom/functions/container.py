@@ -11,6 +11,7 @@ size of the palette.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -59,10 +60,16 @@ def check_image(size: int, width: int, height: int, bpp: int, channels: int) ->
         raise ValueError(f"{size} bytes, but the dimensions need {width * height * channels * (bpp // 8)}")
 
 
-def encode(pixels: bytes, width: int, height: int, bpp: int, channels: int, configuration: int = USE_COMPRESSION, level: int | None = None) -> bytes:
-    """Container bytes. 16-bit samples come as big-endian pairs."""
-    import zstandard
+class _Coded(NamedTuple):
+    """What :func:`encode` has made of an image before its checksum is known."""
+
+    raw: bytes
+    palette: bytes
+    fields: tuple[int, int, int, int, int]
+    configuration: int
 
+
+def _code(pixels: bytes, width: int, height: int, bpp: int, channels: int, configuration: int) -> _Coded:
     check_image(len(pixels), width, height, bpp, channels)
     inner = channels * (bpp // 8)
     planes = k.as_planes(pixels, inner)
@@ -75,12 +82,39 @@ def encode(pixels: bytes, width: int, height: int, bpp: int, channels: int, conf
     if configuration & USE_DELTA:
         planes = k.delta(planes)
     raw = planes.tobytes()
-    size = HEADER.size + len(palette) + len(raw)
-    if size > MAX_PAYLOAD:
-        raise ValueError(f"payload of {size} bytes is over {MAX_PAYLOAD}")
-    head = HEADER.pack(MAGIC, bpp, channels, width, height, 8, inner, k.checksum(raw), configuration, len(palette))
-    level = level if level is not None else LEVEL_WITH_PALETTE if configuration & USE_PALETTE else LEVEL
-    return struct.pack("<I", size) + zstandard.ZstdCompressor(level=level).compress(head + palette + raw)
+    if HEADER.size + len(palette) + len(raw) > MAX_PAYLOAD:
+        raise ValueError(f"payload of {HEADER.size + len(palette) + len(raw)} bytes is over {MAX_PAYLOAD}")
+    return _Coded(raw, palette, (bpp, channels, width, height, inner), configuration)
+
+
+def _pack(c: _Coded, checksum: int, level: int | None) -> bytes:
+    import zstandard
+
+    bpp, channels, width, height, inner = c.fields
+    head = HEADER.pack(MAGIC, bpp, channels, width, height, 8, inner, checksum, c.configuration, len(c.palette))
+    level = level if level is not None else LEVEL_WITH_PALETTE if c.configuration & USE_PALETTE else LEVEL
+    body = head + c.palette + c.raw
+    return struct.pack("<I", len(body)) + zstandard.ZstdCompressor(level=level).compress(body)
+
+
+def encode(pixels: bytes, width: int, height: int, bpp: int, channels: int, configuration: int = USE_COMPRESSION, level: int | None = None) -> bytes:
+    """Container bytes. 16-bit samples come as big-endian pairs."""
+    coded = _code(pixels, width, height, bpp, channels, configuration)
+    return _pack(coded, k.checksum(coded.raw), level)
+
+
+def encode_many(images: list[tuple]) -> list[bytes | ValueError]:
+    """:func:`encode` of each (pixels, width, height, bpp, channels, configuration); an image that is refused gives its error."""
+    coded = [_or_error(ValueError, _code, *x) for x in images]
+    sums = iter(k.checksums([c.raw for c in coded if isinstance(c, _Coded)]))
+    return [_pack(c, next(sums), None) if isinstance(c, _Coded) else c for c in coded]
+
+
+def _or_error(kind, f, *args):
+    try:
+        return f(*args)
+    except kind as e:
+        return e
 
 
 def _declared(data: bytes | None) -> int:
@@ -132,24 +166,53 @@ def peek(data: bytes | None) -> dict[str, int]:
     return header_of(raw)
 
 
-def decode(data: bytes | None, *, pixels: bool = True) -> Image:
-    """The image, verified; :class:`Damaged` tells what is wrong."""
+def peek_stream(read: Callable[[int], bytes], step: int = 16 << 10) -> dict[str, int]:
+    """The header of a container that ``read(n)`` gives the bytes of, from as few of them as will do: the frame's first block at most."""
+    import zstandard
+
+    start = read(5)
+    _declared(start)
+    z = zstandard.ZstdDecompressor().decompressobj()
+    try:
+        raw = z.decompress(start[4:])
+        while len(raw) < HEADER.size and (more := read(step)):
+            raw += z.decompress(more)
+    except zstandard.ZstdError:
+        raise Damaged("zstd") from None
+    if len(raw) < HEADER.size and not z.eof:
+        raise Damaged("zstd")
+    return header_of(raw)
+
+
+class _Opened(NamedTuple):
+    """A container whose checksum is not verified yet."""
+
+    header: dict[str, int]
+    samples: np.ndarray
+    palette: bytes
+
+
+def _open(data: bytes | None) -> _Opened:
     raw = payload(data)
     h = header_of(raw)
     count = h["width"] * h["height"] * h["channels_int"] * (h["bpp_int"] // 8)
     at = HEADER.size + h["palette_bytes"]
     if at + count > len(raw) or not h["channels_int"]:
         raise Damaged("bounds")
-    samples = np.frombuffer(raw, np.uint8, count, at)
-    if k.checksum(samples) != h["checksum"]:
+    return _Opened(h, np.frombuffer(raw, np.uint8, count, at), raw[HEADER.size : at])
+
+
+def _image(o: _Opened, checksum: int, pixels: bool) -> Image:
+    h = o.header
+    if checksum != h["checksum"]:
         raise Damaged("checksum")
     shape = Image(h["width"], h["height"], h["bpp_ext"], h["channels_ext"], h["bpp_int"], h["channels_int"], h["config"], None)
-    planes = samples.reshape(-1, h["channels_int"])
+    planes = o.samples.reshape(-1, h["channels_int"])
     if h["config"] & USE_PALETTE:
         if h["channels_int"] > MAX_PALETTE_CHANNELS:
             raise Damaged("palette")
         try:
-            palettes = k.palette_parse(raw[HEADER.size : at], h["channels_int"])
+            palettes = k.palette_parse(o.palette, h["channels_int"])
         except ValueError:
             raise Damaged("palette") from None
     if not pixels:
@@ -162,3 +225,16 @@ def decode(data: bytes | None, *, pixels: bool = True) -> Image:
         except ValueError:
             raise Damaged("palette_index") from None
     return shape._replace(pixels=planes.tobytes())
+
+
+def decode(data: bytes | None, *, pixels: bool = True) -> Image:
+    """The image, verified; :class:`Damaged` tells what is wrong."""
+    opened = _open(data)
+    return _image(opened, k.checksum(opened.samples), pixels)
+
+
+def decode_many(contents: list[bytes | None], *, pixels: bool = True) -> list[Image | Damaged]:
+    """:func:`decode` of each, their checksums all at once; a container that cannot be read gives its error."""
+    opened = [_or_error(Damaged, _open, c) for c in contents]
+    sums = iter(k.checksums([o.samples for o in opened if isinstance(o, _Opened)]))
+    return [_or_error(Damaged, _image, o, next(sums), pixels) if isinstance(o, _Opened) else o for o in opened]

@@ -12,7 +12,6 @@ import numpy as np
 # Fixed values of the checksum: start and multiplier of each of the four lanes.
 LANE_START = (0x12345678, 0x9ABCDEF0, 0xFEDCBA98, 0x87654321)
 LANE_FACTOR = (31, 37, 41, 43)
-_MASK = 0xFFFFFFFF
 
 
 def as_planes(pixels: bytes | np.ndarray, channels: int) -> np.ndarray:
@@ -81,14 +80,14 @@ def undelta(planes: np.ndarray) -> np.ndarray:
 _powers: dict[int, np.ndarray] = {}
 
 
-def _inverse_powers(factor: int, n: int) -> np.ndarray:
-    """factor ** -(k+1) modulo 2**32 for k < n, by doubling; the longest one asked for is kept."""
-    out = _powers.get(factor)
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base ** k modulo 2**32 for k < n, by doubling; the longest one asked for is kept."""
+    out = _powers.get(base)
     if out is None:
-        out = np.array([pow(factor, -1, 1 << 32)], np.uint32)
+        out = np.ones(1, np.uint32)
     while len(out) < n:
-        out = np.concatenate([out, out * np.uint32(pow(factor, -len(out), 1 << 32))])
-    _powers[factor] = out
+        out = np.concatenate([out, out * np.uint32(pow(base, len(out), 1 << 32))])
+    _powers[base] = out
     return out[:n]
 
 
@@ -108,64 +107,91 @@ def _transpose_bits(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _running_parity(words: np.ndarray) -> np.ndarray:
-    """Exclusive running XOR over a bit sequence packed into 64-bit words, first bit lowest."""
+def _running_parity(words: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Exclusive running XOR over bit sequences packed into 64-bit words, first bit lowest; each begins at a word of ``heads``."""
     x = words.copy()
     for s in (1, 2, 4, 8, 16, 32):
         x ^= x << np.uint64(s)
     carry = np.bitwise_xor.accumulate(x >> np.uint64(63))
     before = np.zeros_like(carry)
     before[1:] = carry[:-1]
+    if len(heads) > 1:
+        before ^= np.repeat(before[heads], sizes)
     x ^= np.uint64(0) - before
     first = np.zeros_like(x)
     first[1:] = x[:-1] >> np.uint64(63)
+    first[heads] = 0
     return (x << np.uint64(1)) | first
 
 
-def _lane(raw: np.ndarray, start: int, factor: int) -> int:
-    """State after folding every byte: state = (state ^ byte) * factor, modulo 2**32.
-
-    The XOR touches the low byte only, and bit j of that byte's sequence is a
-    running XOR of input bits and of carries from lower bits, so the low bytes come
-    from eight running XORs over packed bits. With them known the rest is linear.
-    """
-    n = len(raw)
-    if not n:
-        return start
-    data = np.zeros(n + (-n) % 64, np.uint8)
-    data[:n] = raw
-    inputs = np.ascontiguousarray(_transpose_bits(data.view("<u8").copy()).view(np.uint8).reshape(-1, 8).T).view("<u8")
-    lines = np.empty_like(inputs)  # bits of the low byte before each step
-    x: list[np.ndarray] = []  # bits of (low byte ^ input)
-    # factor * x is a sum of shifted x: an adder for each shift, that holds its carry into the present bit
-    shifts = [k for k in range(1, 8) if factor >> k & 1]
-    carries = [np.zeros_like(inputs[0]) for _ in shifts]
-    for j in range(8):
-        terms = [x[j - k] if j >= k else None for k in shifts]
-        drive = inputs[j].copy()
-        for b, c in zip(terms, carries, strict=True):
-            if b is not None:
-                drive ^= b
-            drive ^= c
-        line = _running_parity(drive)
-        lines[j] = ~line if start >> j & 1 else line
-        x.append(lines[j] ^ inputs[j])
-        total = x[j]
-        for k, (b, c) in enumerate(zip(terms, carries, strict=True)):
-            if b is None:  # no term: the carry only moves on into the total
-                carries[k], total = total & c, total ^ c
-            else:
-                both = total ^ b
-                carries[k], total = (total & b) | (c & both), both ^ c
-    low = _transpose_bits(np.ascontiguousarray(lines.view(np.uint8).T).view("<u8").reshape(-1)).view(np.uint8)[:n]
-    change = ((low ^ raw).astype(np.int16) - low).astype(np.int32).view(np.uint32)
-    # state_n = factor**n * (start + sum of change_k * factor**-k)
-    total = int(np.dot(change[1:], _inverse_powers(factor, n)[: n - 1])) + int(change[0]) + start
-    return total * pow(factor, n, 1 << 32) & _MASK
+class _Layout:
+    """Sequences of bytes behind each other, each padded to whole 64-bit words of every lane and bit."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        blocks = np.maximum(-(-self.lengths // 256), 1)
+        ends = np.cumsum(blocks)
+        self.heads, self.sizes = ends - blocks, blocks  # in words of a lane's bit line: 256 bytes are 64 of each lane
+        self.data = np.zeros(256 * int(ends[-1]), np.uint8)
+        for p, at in zip(parts, (256 * self.heads).tolist(), strict=True):
+            self.data[at : at + len(p)] = p
+
+    def lane(self, k: int, start: int, factor: int) -> np.ndarray:
+        """State of lane k of each sequence after folding its bytes: state = (state ^ byte) * factor, modulo 2**32.
+
+        The XOR touches the low byte only, and bit j of that byte's sequence is a
+        running XOR of input bits and of carries from lower bits, so the low bytes come
+        from eight running XORs over packed bits. With them known the rest is linear.
+        """
+        data = np.ascontiguousarray(self.data[k::4])
+        inputs = np.ascontiguousarray(_transpose_bits(data.view("<u8").copy()).view(np.uint8).reshape(-1, 8).T).view("<u8")
+        lines = np.empty_like(inputs)  # bits of the low byte before each step
+        x: list[np.ndarray] = []  # bits of (low byte ^ input)
+        # factor * x is a sum of shifted x: an adder for each shift, that holds its carry into the present bit
+        shifts = [k for k in range(1, 8) if factor >> k & 1]
+        carries = [np.zeros_like(inputs[0]) for _ in shifts]
+        for j in range(8):
+            terms = [x[j - k] if j >= k else None for k in shifts]
+            drive = inputs[j].copy()
+            for b, c in zip(terms, carries, strict=True):
+                if b is not None:
+                    drive ^= b
+                drive ^= c
+            line = _running_parity(drive, self.heads, self.sizes)
+            lines[j] = ~line if start >> j & 1 else line
+            x.append(lines[j] ^ inputs[j])
+            total = x[j]
+            for i, (b, c) in enumerate(zip(terms, carries, strict=True)):
+                if b is None:  # no term: the carry only moves on into the total
+                    carries[i], total = total & c, total ^ c
+                else:
+                    both = total ^ b
+                    carries[i], total = (total & b) | (c & both), both ^ c
+        low = _transpose_bits(np.ascontiguousarray(lines.view(np.uint8).T).view("<u8").reshape(-1)).view(np.uint8)
+        change = ((low ^ data).astype(np.int16) - low).astype(np.int32).view(np.uint32)
+        # state_n = factor**n * (start + sum of change_k * factor**-k)
+        n = np.maximum(0, -(-(self.lengths - k) // 4))
+        inverse = _powers_of(pow(factor, -1, 1 << 32), int(n.max(initial=1)) or 1)
+        if len(n) == 1:
+            sums = np.array([np.dot(change[: n[0]], inverse[: n[0]])], np.uint32)
+        else:
+            begin = 64 * self.heads
+            place = np.arange(len(data)) - np.repeat(begin, 64 * self.sizes)
+            counted = place < np.repeat(n, 64 * self.sizes)
+            product = change * inverse[np.minimum(place, len(inverse) - 1)]
+            product[~counted] = 0
+            sums = np.add.reduceat(product, begin)
+        return (sums + np.uint32(start)) * _powers_of(factor, int(n.max(initial=0)) + 1)[n]
+
+
+def checksums(parts: list[bytes | np.ndarray]) -> list[int]:
+    """The container's 32-bit checksum of each sequence: four lanes over bytes k, k+4, ..., folded together."""
+    if not parts:
+        return []
+    layout = _Layout([np.frombuffer(p, np.uint8) if not isinstance(p, np.ndarray) else p.reshape(-1) for p in parts])
+    h = [layout.lane(k, LANE_START[k], LANE_FACTOR[k]).astype(np.uint32) for k in range(4)]
+    return ((h[0] ^ (h[1] >> np.uint32(3))) + (h[2] ^ (h[3] << np.uint32(5)))).tolist()
 
 
 def checksum(raw: bytes | np.ndarray) -> int:
-    """The container's 32-bit checksum: four lanes over bytes k, k+4, ..., folded together."""
-    data = np.frombuffer(raw, np.uint8) if not isinstance(raw, np.ndarray) else raw.reshape(-1)
-    h = [_lane(np.ascontiguousarray(data[k::4]), LANE_START[k], LANE_FACTOR[k]) for k in range(4)]
-    return ((h[0] ^ (h[1] >> 3)) + (h[2] ^ (h[3] << 5 & _MASK))) & _MASK
+    return checksums([raw])[0]

@@ -28,6 +28,20 @@ def test_checksum_is_the_fold(raw):
     assert kernels.checksum(raw) == folded(raw)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=700), max_size=12))
+def test_checksums_at_once_are_those_of_each(parts):
+    assert kernels.checksums(parts) == [folded(p) for p in parts]
+
+
+def test_many_at_once():
+    sound = container.encode(bytes(range(12)), 2, 2, 8, 3, 7)
+    found = container.decode_many([sound, None, b"1234567", damaged(sound, "checksum"), sound])
+    assert [x.reason if isinstance(x, container.Damaged) else x.pixels for x in found] == [bytes(range(12)), "too_small", "bad_size", "checksum", bytes(range(12))]
+    made = container.encode_many([(bytes(range(12)), 2, 2, 8, 3, 7), (b"1", 2, 2, 8, 1, 1), (bytes(9), 1, 1, 8, 9, 5)])
+    assert made[0] == sound and all(isinstance(x, ValueError) for x in made[1:])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 9), st.integers(1, 9), st.integers(1, 4), st.sampled_from([8, 16]), st.sampled_from([1, 3, 5, 7, 1 | 2 | 4 | 8]), st.randoms())
 def test_round_trip(w, h, c, bpp, flags, rnd):
