@@ -1,7 +1,8 @@
 """python -m rasterloom compress|compress-palette|pack|decompress|info SOURCE [TARGET]
 
-SOURCE is a folder or file: anymaps to compress, containers to decompress. Exits
-with 1 if any file fails.
+SOURCE is a folder or file: anymaps and pictures to compress, containers to
+decompress. TARGET mirrors the folders of SOURCE. Exits with 1 if any file fails, and
+writes nothing where two files have one target.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ def main(args: list[str]) -> int:
     from pyspark.sql import functions as F
 
     from rasterloom import api
-    from rasterloom.functions import arrow
     from rasterloom.operators import collection as co
     from rasterloom.sources.files import register
 
@@ -31,20 +31,17 @@ def main(args: list[str]) -> int:
         rows.show(1000, truncate=False)
         return int(not rows.where("reason is not null").isEmpty())
     if mode in MODES:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.p[gpn]m").load(source)
-        images, suffix = arrow.parse_pnm(files.select("path", "content"), ["path"]), ".rlc"
+        bad = api.encode_tree(spark, source, args[2], use_rle=bool(MODES[mode] & 2), use_palette=bool(MODES[mode] & 4))
     else:
-        images, suffix = api.read(spark, source), ".pnm"
-    images = images.persist()
-    named = images.where("reason is null").withColumn("path", F.concat(co.stem(F.col("path")), F.lit(suffix)))
-    if mode in MODES:
-        api.write(named, args[2], configuration=MODES[mode])
-    else:
-        named.write.format("pnm").mode("append").save(args[2])
-    bad = images.where("reason is not null").select("path", "reason")
+        images = api.read(spark, source).persist()
+        place = co.swap_suffix(co.below(spark, F.col("path"), source), ".pnm")
+        images.where("reason is null").withColumn("path", place).write.format("pnm").mode("append").save(args[2])
+        bad = images.where("reason is not null").select("path", "reason")
+    failed = False
     for r in bad.toLocalIterator():
+        failed = True
         print(f"{r.path}: {r.reason}", file=sys.stderr)
-    return int(not bad.isEmpty())
+    return int(failed)
 
 
 if __name__ == "__main__":

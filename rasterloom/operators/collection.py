@@ -6,7 +6,9 @@ top-k; nothing depends on the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGE_EXTENSIONS = (".ppm", ".pnm", ".png", ".jpg", ".jpeg")
@@ -27,9 +29,20 @@ def stem(path: Column) -> Column:
 
 
 def relative(path: Column, root: str) -> Column:
+    """The path below a folder; a path outside it as it stands."""
     return F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)).otherwise(path)
 
 
+def below(spark: SparkSession, path: Column, folder: str) -> Column:
+    """The path that a file scan gives, relative to the folder it was asked for; the name alone where that is a file."""
+    jvm = spark.sparkContext._jvm
+    asked = jvm.org.apache.hadoop.fs.Path(folder)
+    full = asked.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(asked).toString()
+    plain = lambda x: re.sub(r"^file:/+", "/", x)
+    here = F.regexp_replace(path, r"^file:/+", "/")
+    return F.when(here == plain(full), base_name(here)).otherwise(relative(here, plain(full)))
+
+
 def swap_suffix(path: Column, suffix: str) -> Column:
     """The path with its extension replaced; added where there is none."""
     return F.when(base_name(path).rlike(r"^.+\.[^.]*$"), F.regexp_replace(path, r"\.[^./]*$", suffix)).otherwise(F.concat(path, F.lit(suffix)))
@@ -61,6 +74,12 @@ def pair(a: DataFrame, b: DataFrame, on: str = "stem") -> DataFrame:
     return a.join(b.select(on, F.col("path").alias("b_path"), F.col("length").alias("b_length")), on)
 
 
+def pair_trees(a: DataFrame, a_root: str, b: DataFrame, b_root: str) -> DataFrame:
+    """Files of two trees that have the same place in them but for the extension: place, path, b_path and both lengths."""
+    placed = lambda df, root: df.withColumn("place", swap_suffix(relative(F.col("path"), root), ""))
+    return pair(placed(a, a_root), placed(b, b_root), "place")
+
+
 def parity(a: DataFrame, b: DataFrame, a_suffix: str, b_suffix: str) -> DataFrame:
     """missing: names that one side has more often than the other, with the suffix they lack."""
     x, y = a.select("stem"), b.select("stem")
@@ -93,11 +112,17 @@ def truncated_ratio(a: Column, b: Column) -> Column:
 
 
 def upper_median(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Of each group without its first row: the middle value, the upper one of two."""
-    rows = df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where("nth > 1")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value, order)) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return rows.select(*by, F.col(value).alias("median"), rank.alias("rank"), n.alias("n")).where(F.col("rank") == F.floor(F.col("n") / 2)).select(*by, "median")
+    """Of each group without its first row: the middle value, the upper one of two.
+
+    Counts of values combine before the exchange, so no task sorts a whole group.
+    """
+    first_row = F.broadcast(df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.min(order).alias("_g_first")))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    rows = df.join(first_row, same).where(F.col(order) > F.col("_g_first"))
+    # the lower of two from above is the upper one
+    return rows.groupBy(*by).agg(F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias("median"))
 
 
 def best_of(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -294,8 +295,6 @@ def pnm_headers(spark, sf_dir):
 @query(f"WITH {fx.PART} {_FLAT}")
 def api_write_read(spark, sf_dir):
     """Through files: write to the shared folder, read it back."""
-    import uuid
-
     from rasterloom import api
 
     path = f"{shared_dir(spark)}/rasterloom/api-{uuid.uuid4().hex}"
@@ -487,6 +486,175 @@ def subset_semi(spark, sf_dir):
     return fx.document_files(spark, sf_dir).join(fx.label_files(spark, sf_dir), "stem", "left_semi").select("path")
 
 
+# Trees of files
+
+
+def _folder(spark, label: str) -> str:
+    return f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
+
+
+def _put(df: DataFrame, root: str) -> None:
+    """Writes each row's ``content`` to its ``path`` below a folder."""
+    import posixpath
+
+    from rasterloom.sources.files import _fs
+
+    def one(path, content):
+        where, top = _fs(root)
+        final = posixpath.join(top, path)
+        where.create_dir(posixpath.dirname(final), recursive=True)
+        with where.open_output_stream(final) as f:
+            f.write(content)
+        return (len(content),)
+
+    arrow._stage(df, ["path"], ["path", "content"], "size long", one).write.format("noop").mode("overwrite").save()
+
+
+def _anymaps(spark, sf_dir, name: str) -> DataFrame:
+    """path, content: an anymap of each event type, all of one name in folders of their own."""
+    return arrow.write_pnm(fx.event_images(spark, sf_dir, 1), ["image_id"]).select(F.concat("image_id", F.lit("/" + name)).alias("path"), "content")
+
+
+def _by_folder(images: DataFrame) -> DataFrame:
+    return _sums(images.select(F.element_at(F.split("path", "/"), -2).alias("image_id"), "pixels"), ["image_id"])
+
+
+@query(f"WITH {fx.EV8} {_FLAT}")
+def tree_encode(spark, sf_dir):
+    """A folder tree of equal names is encoded to the same tree."""
+    from rasterloom import api
+
+    source, target = _folder(spark, "tree"), _folder(spark, "tree-encoded")
+    _put(_anymaps(spark, sf_dir, "x.pgm"), source)
+    api.encode_tree(spark, source, target, pictures_too=False, use_rle=True)
+    return _by_folder(api.read(spark, target))
+
+
+@query(f"WITH {fx.EV8} {_FLAT}")
+def format_read(spark, sf_dir):
+    """The data source reads what the SQL function encoded."""
+    from rasterloom.sources.files import register
+
+    register(spark)
+    arrow.register(spark)
+    root = _folder(spark, "format")
+    images = fx.event_images(spark, sf_dir, 3)
+    _put(images.select(F.concat("image_id", F.lit("/x.rlc")).alias("path"), arrow.rl_encode("pixels", "width", "height", "bpp", "channels", "configuration").alias("content")), root)
+    return _by_folder(spark.read.format("rasterloom").load(root))
+
+
+@query(f"WITH {fx.EV16} {_FLAT}")
+def sql_functions(spark, sf_dir):
+    """rl_encode and rl_decode as expressions."""
+    ship(spark)
+    coded = fx.event_images(spark, sf_dir, 7, 16).select("image_id", arrow.rl_encode("pixels", "width", "height", "bpp", "channels", "configuration").alias("content"))
+    return _sums(coded.select("image_id", arrow.rl_decode("content").alias("image")).select("image_id", "image.pixels"), ["image_id"], 16)
+
+
+@query("SELECT * FROM (VALUES ('kept.rlc', 2), ('new.rlc', 3)) t(name, width)")
+def overwrite_files(spark, sf_dir):
+    """After mode overwrite only that job's files are there."""
+    from rasterloom import api
+
+    root = _folder(spark, "overwrite")
+    row = lambda name, n: (name, n, 1, 8, 1, bytearray(range(n)))
+    for mode, rows in ((False, [row("old.rlc", 1), row("kept.rlc", 1)]), (True, [row("kept.rlc", 2), row("new.rlc", 3)])):
+        api.write(spark.createDataFrame(rows, "path string, width long, height long, bpp int, channels int, pixels binary"), root, overwrite=mode)
+    return api.info(spark, root, verify=False, direct=True).select(co.base_name(F.col("path")).alias("name"), F.col("width").cast("int").alias("width"))
+
+
+@query(f"WITH {fx.PART} {_FLAT}")
+def picture_files(spark, sf_dir):
+    """PNG files through Spark's image source."""
+    import struct as st
+    import zlib
+
+    def png(raw, width, height, channels):
+        part = lambda kind, data: st.pack(">I", len(data)) + kind + data + st.pack(">I", zlib.crc32(kind + data))
+        step = width * channels
+        lines = b"".join(b"\0" + raw[k : k + step] for k in range(0, len(raw), step))
+        return (b"\x89PNG\r\n\x1a\n" + part(b"IHDR", st.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b""),)
+
+    from rasterloom import api
+
+    root = _folder(spark, "pictures")
+    _put(arrow._stage(fx.part_images(spark, sf_dir, 1).withColumn("path", F.concat("image_id", F.lit("/p.png"))), ["path"], ["pixels", "width", "height", "channels"], "content binary", png), root)
+    return _by_folder(api.pictures(spark, root))
+
+
+_TREES = """src AS (SELECT doc_id % 7 || '/' || doc_id // 7 AS place, octet_length(encode(text))::BIGINT AS length FROM documents),
+dst AS (SELECT doc_id % 7 || '/' || doc_id // 7 AS place, (octet_length(encode(text)) // 2 + 1)::BIGINT AS length FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+
+
+@query(f"WITH {_TREES} SELECT place, 'src/' || place || '.png' AS path, src.length, 'dst/' || place || '.rlc' AS b_path, dst.length AS b_length FROM src JOIN dst USING (place)")
+def pair_relative(spark, sf_dir):
+    """Files of two trees by their place, where names alone repeat."""
+    place = F.concat((F.col("stem").cast("long") % 7).cast("string"), F.lit("/"), F.floor(F.col("stem").cast("long") / 7).cast("string"))
+    tree = lambda df, root, ext: df.select(F.concat(F.lit(root + "/"), place, F.lit(ext)).alias("path"), "length")
+    a, b = tree(fx.document_files(spark, sf_dir), "src", ".png"), tree(fx.label_files(spark, sf_dir), "dst", ".rlc")
+    return co.pair_trees(a, "src", b, "dst").select("place", "path", "length", "b_path", "b_length")
+
+
+_LISTED = ("a.png", "b.JPG", "c.txt", "sub/a.png", "sub/d.ppm", "sub/deep/e.pnm")
+
+
+@query("""SELECT * FROM (VALUES ('flat', 'a.png'), ('flat', 'b.JPG'), ('first', 'a.png'), ('all', 'a.png'), ('all', 'b.JPG'), ('all', 'sub/a.png'), ('all', 'sub/d.ppm'), ('all', 'sub/deep/e.pnm'),
+('glob', 'sub/deep/e.pnm'), ('glob', 'sub/d.ppm'), ('named', 'a.png'), ('named', 'sub/a.png')) t(search, place)""")
+def discover_tree(spark, sf_dir):
+    """Searches of a folder: flat, the first only, recursive, by a pattern, by name."""
+    root = _folder(spark, "listed")
+    _put(spark.createDataFrame([(n, bytearray(b"x")) for n in _LISTED], "path string, content binary"), root)
+    found = {
+        "flat": co.discover(spark, root), "first": co.discover(spark, root, most=1), "all": co.discover(spark, root, recursive=True),
+        "glob": co.files(spark, root, recursive=True, glob="*.p[pn]m"), "named": co.files(spark, root, recursive=True).where("stem = 'a'"),
+    }
+    rows = None
+    for search, df in found.items():
+        part = df.select(F.lit(search).alias("search"), co.below(spark, F.col("path"), root).alias("place"))
+        rows = part if rows is None else rows.unionAll(part)
+    return rows
+
+
+@query("""SELECT * FROM (VALUES ('grey8', 3, 2, 8, 1, 6), ('rgb8', 3, 2, 8, 3, 18), ('grey16', 3, 2, 16, 1, 12), ('rgb16', 3, 2, 16, 3, 36)) t(name, width, height, bpp, channels, size)""")
+def array_input(spark, sf_dir):
+    """Arrays as images, and back."""
+    import numpy as np
+
+    from rasterloom import api
+
+    rows = []
+    for name, shape, kind in (("grey8", (2, 3), np.uint8), ("rgb8", (2, 3, 3), np.uint8), ("grey16", (2, 3), np.uint16), ("rgb16", (2, 3, 3), np.uint16)):
+        a = np.arange(np.prod(shape)).reshape(shape).astype(kind)
+        r = api.from_array(a)
+        assert (api.to_array(r) == a).all()
+        rows.append((name, r["width"], r["height"], r["bpp"], r["channels"], len(r["pixels"])))
+    return spark.createDataFrame(rows, "name string, width int, height int, bpp int, channels int, size int")
+
+
+@query("""SELECT * FROM (VALUES ('bpp', 'bpp must be 8 or 16, not 12'), ('palette', 'a palette holds at most 8 byte channels, not 9'), ('short', '3 bytes, but the dimensions need 4'),
+('sound', NULL), ('zero', 'width, height and channels must be positive')) t(name, error)""")
+def refused_images(spark, sf_dir):
+    rows = [("sound", 2, 2, 8, 1, 3, 4), ("zero", 0, 2, 8, 1, 1, 0), ("bpp", 2, 2, 12, 1, 1, 4), ("short", 2, 2, 8, 1, 1, 3), ("palette", 1, 1, 8, 9, 5, 9)]
+    images = spark.createDataFrame([(*r[:-1], bytearray(r[-1])) for r in rows], "name string, width long, height long, bpp int, channels int, configuration int, pixels binary")
+    return arrow.encode_images(images, ["name"]).select("name", "error")
+
+
+@query("SELECT 'compress' AS command, 0 AS code UNION ALL SELECT 'info', 0 UNION ALL SELECT 'decompress', 0 UNION ALL SELECT 'info damaged', 1 UNION ALL SELECT 'no command', 1")
+def command_codes(spark, sf_dir):
+    """Exit codes of the command line."""
+    import contextlib
+    import io
+
+    from rasterloom.__main__ import main
+
+    source, coded, back, bad = (_folder(spark, f"command-{k}") for k in range(4))
+    _put(_anymaps(spark, sf_dir, "x.pgm"), source)
+    _put(spark.createDataFrame([("bad.rlc", bytearray(b"1234"))], "path string, content binary"), bad)
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        rows = [("compress", main(["compress-palette", source, coded])), ("info", main(["info", coded])), ("decompress", main(["decompress", coded, back])), ("info damaged", main(["info", bad])), ("no command", main(["nothing"]))]
+    return spark.createDataFrame(rows, "command string, code int")
+
+
 @query()
 def discover_files(spark, sf_dir):
     return co.discover(spark, sf_dir, (".parquet",), recursive=True).select("stem", "ext", "length")

@@ -6,9 +6,11 @@
 
 The reader packs files into partitions of about :data:`PARTITION_BYTES`; filters on
 ``path`` are applied before any file is opened. ``mode=meta`` drops the pixels, and
-with ``verify=false`` decompresses only headers. The writer makes one file for each
-row, under a temporary name that the commit of the job renames, so that a task that
-runs twice leaves one file.
+with ``verify=false`` reads only as much of each file as its header needs. The writer
+makes one file for each row in a folder of the job, and the commit moves the files in
+parallel to their places, so that a task that runs twice, or fails, leaves nothing
+behind. Two rows with one path fail the job. ``mode("overwrite")`` then removes every
+other file below the target.
 
 These sources open paths through pyarrow's file systems. On a store that only
 Spark's own readers reach, use :func:`rasterloom.api.read`, which is built on
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage
@@ -28,6 +32,8 @@ from pyspark.sql.types import StructType
 from rasterloom.functions import container, pnm
 
 PARTITION_BYTES = 64 << 20
+#: Files that a commit moves at a time.
+MOVERS = 32
 #: Extension of container files, unless the option ``extension`` names another.
 EXTENSION = "rlc"
 IMAGE_SCHEMA = "path string, width long, height long, bpp int, channels int, bpp_internal int, ch_internal int, configuration int, pixels binary, reason string"
@@ -97,7 +103,10 @@ class _Reader(DataSourceReader):
         where, _ = _fs(self.root)
         for path in partition.paths:
             with where.open_input_stream(path) as f:
-                yield (path, *self.row(f.read()))
+                yield (path, *self.open(f))
+
+    def open(self, f) -> tuple:
+        return self.row(f.read())
 
     def row(self, data: bytes) -> tuple:
         raise NotImplementedError
@@ -109,12 +118,18 @@ class _RasterReader(_Reader):
         self.meta = options.get("mode", "image") == "meta"
         self.verify = _truth(options.get("verify"), True)
 
+    def open(self, f):
+        if not self.meta or self.verify:
+            return super().open(f)
+        try:
+            h = container.peek_stream(f.read)
+        except container.Damaged as e:
+            return (None,) * 7 + (e.reason,)
+        return (h["width"], h["height"], h["bpp_ext"], h["channels_ext"], h["bpp_int"], h["channels_int"], h["config"], None)
+
     def row(self, data):
         n = 7 if self.meta else 8
         try:
-            if self.meta and not self.verify:
-                h = container.peek(data)
-                return (h["width"], h["height"], h["bpp_ext"], h["channels_ext"], h["bpp_int"], h["channels_int"], h["config"], None)
             return (*container.decode(data, pixels=not self.meta)[:n], None)
         except container.Damaged as e:
             return (None,) * n + (e.reason,)
@@ -141,37 +156,61 @@ class _Writer(DataSourceArrowWriter):
         self.root = options["path"]
         self.options = dict(options)
         self.overwrite = overwrite
-        self.token = uuid.uuid4().hex
+        self.held = f"_held-{uuid.uuid4().hex}"
+        # made here, on the driver: a task that outlives its aborted job then finds no folder, and leaves no file
+        where, root = _fs(self.root)
+        where.create_dir(posixpath.join(root, self.held), recursive=True)
 
     def make(self, row: dict) -> bytes:
         raise NotImplementedError
 
     def write(self, batches) -> Written:
         where, root = _fs(self.root)
+        folder = posixpath.join(root, self.held)
         done = []
         for batch in batches:
             for row in batch.to_pylist():
-                name = row["path"].lstrip("/")
-                final = posixpath.join(root, name)
-                where.create_dir(posixpath.dirname(final), recursive=True)
-                held = posixpath.join(posixpath.dirname(final), f"_{posixpath.basename(final)}.{self.token}.{uuid.uuid4().hex}")
+                name = posixpath.normpath(row["path"].lstrip("/"))
+                if name.startswith("..") or name == ".":
+                    raise ValueError(f"{row['path']!r} is no path below the target")
+                held = posixpath.join(folder, uuid.uuid4().hex)
                 with where.open_output_stream(held) as f:
                     f.write(self.make(row))
-                done.append((held, final))
+                done.append((held, posixpath.join(root, name)))
         return Written(done)
 
     def commit(self, messages) -> None:
         where, root = _fs(self.root)
-        where.create_dir(root, recursive=True)
-        for m in messages:
-            for held, final in m.files if m else []:
-                where.move(held, final)
+        files = [x for m in messages if m for x in m.files]
+        final = {f for _, f in files}
+        if len(final) < len(files):
+            twice = [f for f, n in Counter(f for _, f in files).items() if n > 1]
+            self.abort(messages)
+            raise ValueError(f"{len(twice)} paths are written twice, {min(twice)} among them")
+        for folder in {posixpath.dirname(f) for f in final} | {root}:
+            where.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda x: where.move(*x), files))
+            if self.overwrite:
+                list(pool.map(where.delete_file, self._others(final)))
+        self.abort(messages)
+
+    def _others(self, final: set[str]) -> list[str]:
+        """Files below the target that this job did not write; those of other jobs under way are left alone."""
+        from pyarrow import fs
+
+        where, root = _fs(self.root)
+        found = where.get_file_info(fs.FileSelector(root, recursive=True))
+        return [f.path for f in found if f.type == fs.FileType.File and f.path not in final and not posixpath.relpath(f.path, root).startswith("_held-")]
 
     def abort(self, messages) -> None:
-        where, _ = _fs(self.root)
-        for m in messages:
-            for held, _final in m.files if m else []:
-                where.delete_file(held)
+        """Whatever is still held goes, also that of tasks that failed."""
+        from pyarrow import fs
+
+        where, root = _fs(self.root)
+        folder = posixpath.join(root, self.held)
+        if where.get_file_info(folder).type == fs.FileType.Directory:
+            where.delete_dir(folder)
 
 
 class _RasterWriter(_Writer):

@@ -26,12 +26,16 @@ def arriving(spark: SparkSession, folder: str, glob: str = "*.p[gpn]m", files_pe
 
 
 def encode_stream(spark: SparkSession, source: str, target: str, checkpoint: str, *, use_rle: bool = False, use_palette: bool = False, available_now: bool = False) -> StreamingQuery:
-    """Encode each arriving anymap to ``<stem>.<extension>`` below ``target``; files that cannot be read go to ``target/_errors`` as rows (path, reason)."""
+    """Encode each arriving anymap to the same place below ``target``, with the extension of containers.
+
+    Files that cannot be read go to ``target/_errors`` as rows (path, reason).
+    """
+    place = co.swap_suffix(co.below(spark, F.col("path"), source), "." + EXTENSION)
 
     def batch(files: DataFrame, number: int) -> None:
         images = arrow.parse_pnm(files, ["path"]).persist()
         try:
-            good = images.where("reason is null").withColumn("path", F.concat(co.stem(F.col("path")), F.lit("." + EXTENSION)))
+            good = images.where("reason is null").withColumn("path", place)
             api.write(good, target, use_rle=use_rle, use_palette=use_palette)
             images.where("reason is not null").select("path", "reason").write.mode("overwrite").json(f"{target}/_errors/{number}")
         finally:

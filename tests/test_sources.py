@@ -29,6 +29,56 @@ def test_write_read_info(spark, tmp_path):
     assert not [f for f in tmp_path.rglob("_*") if f.is_file() and f.suffix != ".crc" and "SUCCESS" not in f.name]
 
 
+def test_overwrite_and_clashing_paths(spark, tmp_path):
+    rows = image_rows()
+    api.write(frame(spark, rows), str(tmp_path))
+    api.write(frame(spark, [rows[0] | {"path": "set/new.rlc"}]), str(tmp_path), overwrite=True)
+    files = lambda: sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*") if f.is_file())
+    assert files() == ["set/new.rlc"]
+    api.write(frame(spark, [rows[1] | {"path": "set/new.rlc"}]), str(tmp_path))  # a file that is there is replaced
+    assert [bytes(r.pixels) for r in api.read(spark, str(tmp_path)).collect()] == [rows[1]["pixels"]]
+    for bad, why in (([rows[0], rows[1] | {"path": rows[0]["path"]}], "twice"), ([rows[0] | {"path": "../x.rlc"}], "no path below"), ([rows[0], rows[1] | {"width": 1}], "dimensions")):
+        with pytest.raises(Exception, match=why):
+            api.write(frame(spark, bad), str(tmp_path))
+        assert files() == ["set/new.rlc"] and not list(tmp_path.glob("_held*"))
+
+
+def test_headers_from_a_prefix(spark, tmp_path):
+    import io
+
+    big = api.from_array(np.random.default_rng(0).integers(0, 256, (600, 900, 3)).astype(np.uint8))
+    data = container.encode(**{k: v for k, v in big.items() if k != "pixels"}, pixels=big["pixels"])
+    f = io.BytesIO(data)
+    assert container.peek_stream(f.read) == container.peek(data) and f.tell() < 200_000 < len(data)
+    for broken, why in ((b"", "too_small"), (data[:4], "too_small"), (data[:4] + b"junk" * 20, "zstd"), (b"\0" * 4 + data[4:], "bad_size"), (data[:30], "zstd")):
+        with pytest.raises(container.Damaged) as e:
+            container.peek_stream(io.BytesIO(broken).read)
+        assert e.value.reason == why
+    (tmp_path / "a.rlc").write_bytes(data)
+    (tmp_path / "b.rlc").write_bytes(b"1234")
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.reason) for r in api.info(spark, str(tmp_path), verify=False, direct=True).collect()}
+    assert got == {"a.rlc": (900, None), "b.rlc": (None, "too_small")}
+
+
+def test_images_stay_on_the_workers(spark, tmp_path):
+    rows = image_rows()
+    api.write(frame(spark, rows), str(tmp_path), use_rle=True)
+    (tmp_path / "bad.rlc").write_bytes(b"1234")
+    got = {r.path.rsplit("/", 1)[1]: (r.n, r.top, r.reason) for r in api.map_arrays(spark, str(tmp_path), lambda a: (a.size, int(a.max())), "n long, top int").collect()}
+    assert got == {r["path"][4:]: (len(r["pixels"]), max(r["pixels"]), None) for r in rows} | {"bad.rlc": (None, None, "too_small")}
+
+
+def test_paths_below_a_folder(spark, tmp_path):
+    for name in ("a/x.pgm", "b/c/x.pgm"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_bytes(b"P5\n1 1\n255\n\x01")
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/a/.."):
+        found = co.files(spark, root, recursive=True)
+        assert sorted(r[0] for r in found.select(co.below(spark, found.path, root)).collect()) == ["a/x.pgm", "b/c/x.pgm"]
+    one = co.files(spark, f"{tmp_path}/a/x.pgm")
+    assert [r[0] for r in one.select(co.below(spark, one.path, f"{tmp_path}/a/x.pgm")).collect()] == ["x.pgm"]
+
+
 def test_format_and_pushdown(spark, tmp_path):
     register(spark)
     api.write(frame(spark, image_rows()), str(tmp_path))

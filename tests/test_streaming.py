@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from rasterloom import __main__, api
 from rasterloom.functions import pnm
@@ -21,6 +22,25 @@ def test_stream_encodes_each_file_once(spark, tmp_path):
     assert [r.reason for r in spark.read.json(f"{target}/_errors/*").collect()] == ["short_raster"]
 
 
+def test_trees_keep_their_folders(spark, tmp_path):
+    source = tmp_path / "in"
+    for k, folder in enumerate(("a", "b/c")):
+        (source / folder).mkdir(parents=True)
+        (source / folder / "x.pgm").write_bytes(pnm.write(bytes([k] * 6), 3, 2, 8, 1))
+    (source / "b" / "bad.pgm").write_bytes(b"P5\n")
+    assert __main__.main(["compress", str(source), str(tmp_path / "c")]) == 1
+    assert sorted(str(f.relative_to(tmp_path / "c")) for f in (tmp_path / "c").rglob("*.rlc")) == ["a/x.rlc", "b/c/x.rlc"]
+    assert __main__.main(["decompress", str(tmp_path / "c"), str(tmp_path / "d")]) == 0
+    assert (tmp_path / "d/a/x.pnm").read_bytes() != (tmp_path / "d/b/c/x.pnm").read_bytes()
+    q = ingest.encode_stream(spark, str(source), str(tmp_path / "s"), str(tmp_path / "mark"), available_now=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert sorted(str(f.relative_to(tmp_path / "s")) for f in (tmp_path / "s").rglob("*.rlc")) == ["a/x.rlc", "b/c/x.rlc"]
+    (source / "a" / "x.ppm").write_bytes(pnm.write(bytes(18), 3, 2, 8, 3))  # both would become a/x.rlc
+    with pytest.raises(Exception, match="twice"):
+        api.encode_tree(spark, str(source), str(tmp_path / "e"), pictures_too=False)
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "x.pgm").write_bytes(pnm.write(bytes(range(6)), 3, 2, 8, 1))
     assert __main__.main(["compress-palette", str(tmp_path), str(tmp_path / "c")]) == 0
