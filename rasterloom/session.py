@@ -50,18 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def stored(spark: SparkSession, df: DataFrame, label: str, **options) -> DataFrame:
+def few_files(df: DataFrame, rows: int, per_file: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows at most, in no more partitions than that many rows need: small tables become few files."""
+    return df.coalesce(max(1, -(-rows // per_file)))
+
+
+def stored(spark: SparkSession, df: DataFrame, label: str, rows: int | None = None, per_file: int = 100_000, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     A lost executor costs a re-read of this table, never a recomputation of
-    what led to it. ``options`` go to the writer. The path is new on each call; :func:`drop_stored` removes it.
+    what led to it. rows: how many there are at most, about, where that is known, for
+    :func:`few_files`. ``options`` go to the writer. The path is new on each call;
+    :func:`drop_stored` removes it.
     """
     bound_batches(spark)
+    df = df if rows is None else few_files(df, rows, per_file)
     path = f"{shared_dir(spark)}/rasterloom/{label}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
