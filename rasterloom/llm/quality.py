@@ -11,15 +11,17 @@ correction inside a rule; across rules and strata the level is divided by their
 number (Bonferroni). So with probability 1 - DELTA all strata together lose at most
 ALPHA of their good documents. Of the certified cutoffs a rule takes the one that
 rejects most documents labelled bad, each good one counting :data:`GOOD_COST` times;
-a stratum with too few labels to certify anything keeps all its documents.
+a stratum with too few labels to certify anything keeps all its documents. Equal
+texts are one trial, however many documents hold them; texts that are merely alike
+count each, so the guarantee takes these for independent.
 
 All measures come from one scan without an exchange: arrays and higher-order
 functions inside a row. What is joined and counted is a table of a few numbers for
 each document.
 
 Defined results: a null text has no words and fails the base rule; a null stratum is
-one of its own; documents with several labels count as good if any says so; null
-labels are left out; an empty table gives no rows; other columns are ignored by
+one of its own; documents with several labels, and equal texts with several, count as
+good if any says so; null labels are left out; a very long text is measured whole; an empty table gives no rows; other columns are ignored by
 :func:`verdicts` and carried by :func:`keep_good`.
 """
 
@@ -36,6 +38,8 @@ DELTA = 0.05
 GOOD_COST = 10
 #: Words of a window, words a document needs, and the percentage of repeated words it may have.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
+#: Cutoffs are broadcast up to this many strata (some 60 bytes each).
+BROADCAST_STRATA = 100_000
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "shouts", "stutter")
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -101,15 +105,16 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and a column _q_cut_<rule> each (null: the rule rejects nothing): a row for each stratum with a certified cutoff.
 
-    measured: doc_id, stratum, base_failed and the rules. labels: doc_id, quality (1 good, 0 bad).
+    measured: doc_id, mark (a hash of the text), stratum, base_failed and the rules. labels: doc_id, quality (1 good, 0 bad).
     """
     quality = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     held = measured.where("not base_failed").join(quality, "doc_id")
+    held = held.groupBy("stratum", "mark").agg(F.max("quality").alias("quality"), *[F.max(r).alias(r) for r in RULES])
     values = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES]))
     seen = held.select("stratum", "quality", values.alias("v")).groupBy("stratum", F.col("v.rule").alias("rule"), F.col("v.value").alias("value"))
     seen = seen.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad"))
     from_top = Window.partitionBy("stratum", "rule").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    strata = F.size(F.collect_set(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("-"))).over(Window.partitionBy()))  # of at most rules * 1001 rows for each
+    strata = seen.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("-")))).scalar()
     rate = alpha / len(RULES)
     tried = seen.withColumn("k", F.sum("good").over(from_top)).withColumn("b", F.sum("bad").over(from_top)).withColumn("n", F.sum("good").over(Window.partitionBy("stratum", "rule")))
     tried = tried.withColumn("tests", strata * len(RULES))
@@ -122,9 +127,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 
 def apply_cutoffs(rows: DataFrame, cuts: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
-    """``rows`` with the column kept. The cutoffs are one row for each stratum, which the labels bound."""
+    """``rows`` with the column kept; cuts: a stored table, a row for each stratum."""
     known = cuts.withColumnRenamed("stratum", "_q_stratum")
-    joined = rows.join(F.broadcast(known), F.col(stratum).eqNullSafe(F.col("_q_stratum")), "left")
+    known = F.broadcast(known) if cuts.count() <= BROADCAST_STRATA else known
+    joined = rows.join(known, F.col(stratum).eqNullSafe(F.col("_q_stratum")), "left")
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(F.col(prefix + r) >= F.col(f"_q_cut_{r}"), F.lit(False))
@@ -133,18 +139,18 @@ def apply_cutoffs(rows: DataFrame, cuts: DataFrame, stratum: str, prefix: str =
 
 def measured(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).cast("string").alias("stratum"), F.col(text_col).alias("text"))
-    return stored(spark, with_measures(rows, "text").select("doc_id", "stratum", *_STATS, *RULES, "base_failed"), "measures")
+    return stored(spark, with_measures(rows, "text").select("doc_id", F.xxhash64("text").alias("mark"), "stratum", *_STATS, *RULES, "base_failed"), "measures", rows=docs.count(), per_file=2048)
 
 
 def verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the measures."""
     rows = measured(spark, docs, id_col, text_col, stratum_col)
-    return apply_cutoffs(rows, stored(spark, cutoffs(rows, labels), "cutoffs"), "stratum").select("doc_id", *_STATS, "base_failed", "kept", "stratum", *RULES)
+    return apply_cutoffs(rows, stored(spark, cutoffs(rows, labels), "cutoffs", rows=1_000_000), "stratum").select("doc_id", *_STATS, "base_failed", "kept", "stratum", *RULES)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass; measured again on the way, so that no text is stored or shuffled."""
-    cuts = stored(spark, cutoffs(measured(spark, docs, id_col, text_col, stratum_col), labels), "cutoffs")
+    cuts = stored(spark, cutoffs(measured(spark, docs, id_col, text_col, stratum_col), labels), "cutoffs", rows=1_000_000)
     # a filter that moved below the measures would compute them anew inside each other's lambdas: a column
     # that is not deterministic keeps it above
     fenced = with_measures(docs, text_col, "_q_").withColumn("_q_fence", F.monotonically_increasing_id())

@@ -63,7 +63,7 @@ def test_cutoffs_are_certified(spark):
     rows = [(i, "en" if i % 4 else None, r.randrange(0, 300), int(r.random() < 0.9)) for i in range(16_000)]
     rows = [(i, s, v + (600 if not q and i % 3 else 0), q) for i, s, v, q in rows]
     zero = {c: F.lit(0) for c in quality.RULES if c != "symbols"}
-    measured = spark.createDataFrame([(i, s, v) for i, s, v, _ in rows], "doc_id long, stratum string, symbols int").withColumns(zero | {"base_failed": F.lit(False)})
+    measured = spark.createDataFrame([(i, s, v) for i, s, v, _ in rows], "doc_id long, stratum string, symbols int").withColumns(zero | {"base_failed": F.lit(False), "mark": F.col("doc_id")})
     cuts = {c.stratum: c for c in quality.cutoffs(measured, spark.createDataFrame([(i, q) for i, _, _, q in rows], "doc_id long, quality int")).collect()}
     assert set(cuts) == {"en", None}
     for s, c in cuts.items():
@@ -72,6 +72,16 @@ def test_cutoffs_are_certified(spark):
         assert 300 <= c._q_cut_symbols <= 700 and c._q_cut_repeats is None
 
 
+def test_equal_texts_are_one_trial(spark):
+    """A cutoff that copies of one text alone would certify is not certified."""
+    rows = [(i, i % 2 if i < 8 else 10 + i, 900 if i % 2 == 0 else 0, i % 2) for i in range(20_000)]
+    zero = {c: F.lit(0) for c in quality.RULES if c != "symbols"}
+    frame = lambda copies: spark.createDataFrame([(i, m % 8 if copies else m, "en", v) for i, m, v, _ in rows], "doc_id long, mark long, stratum string, symbols int").withColumns(zero | {"base_failed": F.lit(False)})
+    marks = spark.createDataFrame([(i, q) for i, *_, q in rows], "doc_id long, quality int")
+    assert quality.cutoffs(frame(False), marks).count() == 1
+    assert quality.cutoffs(frame(True), marks).count() == 0
+
+
 # Near-duplicates
 
 
@@ -135,6 +145,16 @@ def test_odd_documents_near(spark):
     assert neardup.near_duplicates(spark, no_documents(spark)).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row is judged by its own text; one row stays for an id."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "zz"), (7, c, "u"), (7, c, "u"), (None, a, "n"), (9, None, "o"), (9, b, "p")]
+    kept = neardup.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()
+    got = Counter((r.doc_id, r.text, r.tag) for r in kept)
+    assert {k for k in got if k[0] != 9} == {(1, a, "x"), (5, b, "z"), (7, c, "u"), (None, a, "n")} and set(got.values()) == {1}
+    assert [k for k in got if k[0] == 9] == [(9, None, "o")]  # the copy of document 5 goes
+
+
 def test_one_large_group(spark):
     text = prose(1, 60)
     rows = [(i, text if i % 2 else text.replace(text.split()[i % 50], f"w{i % 300}")) for i in range(900)]

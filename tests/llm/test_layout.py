@@ -6,12 +6,15 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from odd import ROWS, no_documents, odd_documents
+from odd import ROWS, no_documents, odd_documents, prose
+from pyspark.sql import functions as F
 
-from rasterloom.llm import mixing, packing, planes, sharding, tokens
+from rasterloom.llm import bytescan, mixing, packing, planes, sharding, tokens
+from rasterloom.llm.prefix import starts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,6 +45,12 @@ def test_shards_are_shuffled_and_written(spark, tmp_path):
     assert back.count() == 4000 and back.select("record.text").distinct().count() == 4000
 
 
+def test_starts(spark):
+    n = [random.Random(k).randrange(50) for k in range(300)]
+    got = starts(spark.createDataFrame(list(enumerate(n)), "k int, n long"), "k", "n", group=7).collect()
+    assert {r.k: r.start for r in got} == {k: sum(n[:k]) for k in range(300)}
+
+
 def test_one_id_for_a_third_of_the_rows(spark):
     docs = spark.range(3000).selectExpr("case when id % 3 = 0 then 7 else id end as doc_id", "'same' as text")
     n = Counter(r.shard for r in sharding.shard(spark, docs, bucket_rows=100).collect())
@@ -93,6 +102,15 @@ def test_mix(spark):
     assert mixing.mix_rows(mixing.mix_plan(spark, no_documents(spark))).collect() == []
 
 
+def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+    """Targets by a table of sources are those that the driver finds."""
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "case when id % 41 = 0 then null else concat('s', id % 41) end as source")
+    plain = sorted(map(str, mixing.mix_rows(mixing.mix_plan(spark, docs)).select("doc_id", "source_size", "taken", F.round("target", 6).alias("target")).collect()))
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 5)
+    got = mixing.mix_rows(mixing.mix_plan(spark, docs)).select("doc_id", "source_size", "taken", F.round("target", 6).alias("target")).collect()
+    assert sorted(map(str, got)) == plain
+
+
 def test_mix_gives_the_words_it_plans(spark):
     docs = odd_documents(spark)
     out = mixing.mix(spark, docs)
@@ -130,8 +148,46 @@ def test_schedule(sizes, length, block, rnd):
             assert abs(given_by[q, w] - length * size / total) <= len(sizes) + 1
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=6), st.sampled_from([16, 64]), st.randoms())
+def test_weighted_phases(sizes, length, rnd):
+    weights = [rnd.choice((0, 1, 1, 2, 3.5)) for _ in sizes]
+    plan = packing.Phases(sizes, weights, length, 3)
+    seen, given_by = Counter(), Counter()
+    for q, size in enumerate(sizes):
+        at = 0
+        while at < size:
+            n = min(size - at, rnd.randrange(1, 400))
+            lengths, windows, offsets = plan.pieces(q, at, n)
+            assert lengths.sum() == n and (lengths > 0).all() and (offsets + lengths <= length).all()
+            for a, w, o in zip(lengths.tolist(), windows.tolist(), offsets.tolist(), strict=True):
+                seen.update(range(w * length + o, w * length + o + a))
+                given_by[q, w] += a
+            at += n
+    assert seen == Counter(range(sum(sizes)))  # every place once
+    active = [q for q in range(len(sizes)) if sizes[q] and weights[q]]
+    for w in range(plan.starts[1] // length if active and len(plan.starts) > 1 else 0):  # until the first queue runs dry
+        for q in active:
+            assert abs(given_by[q, w] - length * weights[q] / sum(weights[k] for k in active)) <= len(sizes) + 2
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id as doc_id", "concat('text number ', id) as text", "concat('s', id % 150) as source")
+    monkeypatch.setattr(packing, "QUEUES", 20)
+    monkeypatch.setattr(packing, "SHARED", 3)
+    for weights in (None, {"s1": 5.0, "s2": 0.0}):
+        rows = packing.pack(spark, docs, length=64, weights=weights).collect()
+        place, got = Counter(), Counter()
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == place[r.sequence_id]
+            place[r.sequence_id] += r.length
+            got[r.doc_id] += r.length
+        assert got == {d: len(ids_of(f"text number {d}")) for d in range(600)}
+        assert all(place[s] == 64 for s in range(max(place)))
+
+
 def ids_of(text):
-    t = tokens.Encoder(tokens.vocabulary()).tokenizer
+    t = tokens.encoder(tokens.vocabulary()).tokenizer
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
@@ -156,21 +212,44 @@ def test_pack(spark):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("aB ßÉ.,!'sİΣσςé́가ªµ\x1c\x85\xa0　\n\t1２Ñ日本<|>"), st.characters(exclude_categories=("Cs",))), max_size=60))
-def test_chunks_encode_like_the_whole(text):
-    e = tokens.encoder(tokens.vocabulary())
-    assert e.encode([text]) == [ids_of(text).tobytes()]
+def test_units_encode_like_the_whole(text):
+    assert encoded(tokens.encoder(tokens.vocabulary()), [text, None, text + " " + text]) == [ids_of(t).tolist() for t in (text, None, text + " " + text)]
+
+
+def encoded(e, texts):
+    ids, ends = e.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, ends[:-1])]
 
 
 def test_special_tokens_and_a_small_memory():
-    e = tokens.Encoder(tokens.vocabulary(), limit=3)
-    for t in ("a <|endoftext|>b <|ENDOFTEXT|> c", "x y z w v u, x. y", "don't I'LL"):
-        assert e.encode([t]) == [ids_of(t).tobytes()]
+    e = tokens.Encoder(tokens.vocabulary(), place_bits=2, room=8)
+    texts = ["a <|endoftext|>b <|ENDOFTEXT|> c", "x y z w v u, x. y", "don't I'LL", prose(1, 300), "J\u030c j\u030c", "x" * 200 + " " + "é" * 90]
+    for _ in range(3):
+        assert encoded(e, texts) == [ids_of(t).tolist() for t in texts]
+
+
+def test_very_long_texts_encode_like_the_whole(monkeypatch):
+    """Texts longer than a piece, with white space or without."""
+    monkeypatch.setattr(bytescan, "PIECE", 64)
+    monkeypatch.setattr(bytescan, "_powers", [])
+    monkeypatch.setattr(bytescan.pieces, "__defaults__", (64,))
+    texts = [prose(2, 100), "short", "ab12-" * 60 + " end", prose(3, 5) + "\n" + "y" * 150, None]
+    e = tokens.Encoder(tokens.vocabulary())
+    assert encoded(e, texts) == [ids_of(t).tolist() for t in texts]
+    assert encoded(e, texts[::-1]) == [ids_of(t).tolist() for t in texts[::-1]]
+
+
+def test_a_vocabulary_of_unknown_rules():
+    e = tokens.Encoder(tokens.vocabulary())
+    e.by_unit = False
+    texts = ["one two", None, "", prose(1, 40)]
+    assert encoded(e, texts) == [ids_of(t).tolist() for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), max_size=8), st.sampled_from([8, 1]), st.sampled_from([1, 8, 64]))
 def test_plane_files_round_trip(docs, width, block):
-    image = planes.write_segment([None if k % 3 == 2 else k for k in range(len(docs))], [np.array(d, "<u4").tobytes() for d in docs], width, block)
+    image = planes.write_segment([None if k % 3 == 2 else k for k in range(len(docs))], [np.array(d, "<u4") for d in docs], width, block)
     seg = planes.Segment(image)
     flat = [x for d in docs for x in d]
     assert seg.ids().tolist() == flat
@@ -181,7 +260,7 @@ def test_plane_files_round_trip(docs, width, block):
 
 
 def test_damaged_plane_file():
-    image = bytearray(planes.write_segment([1], [np.arange(1000, dtype="<u4").tobytes()]))
+    image = bytearray(planes.write_segment([1], [np.arange(1000, dtype="<u4")]))
     with pytest.raises(ValueError):
         planes.Segment(bytes(image[:-1]))
 
