@@ -33,18 +33,22 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
 
-def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """u, v: every node that is linked and not the least of its component, with that least node. A stored table."""
+def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+    """u, v: every node that is linked and not the least of its component, with that least node. A stored table.
+
+    rows: how many edges there are, about, if known.
+    """
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now = stored(spark, pairs, "stars")
+    now = stored(spark, pairs, "stars", rows=rows)
     mark = _mark(now)
+    most = mark[0]  # a round has twice that many pairs at most
     while mark[0]:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(spark, small.union(low).distinct(), "stars")
+        after = stored(spark, small.union(low).distinct(), "stars", rows=2 * most)
         drop_stored(spark, now)
         now, before, mark = after, mark, _mark(after)
         if mark == before:

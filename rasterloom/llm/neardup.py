@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm import hyperminhash as hm
 from rasterloom.llm.graph import components, stars
-from rasterloom.session import drop_stored, ship, stored
+from rasterloom.session import drop_stored, few_files, ship, stored
 
 #: Links have at least this similarity, in hundredths.
 PERCENT = 80
@@ -45,12 +45,14 @@ SMALL = 64
 BLOCK = 1024
 #: Bytes of full sets in a block, about.
 BLOCK_BYTES = 16 << 20
+#: Texts that a task works on at least, where there are as many.
+TEXTS_PER_FILE = 2048
 #: Candidate ids are broadcast to the scan of the texts up to this many (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
 
 def sketches(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest, registers, bands of each row: a stored table."""
+    """doc_id, mark (a hash of the text), n_shingles, digest, registers, bands of each row: a stored table."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,19 +70,19 @@ def sketches(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
                     regs.append(r.tobytes() if len(s) else None)
                     bands.append(hm.band_keys(r) if len(s) else np.zeros(0, np.int64))
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), flat], ["doc_id", "n_shingles", "digest", "registers", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), flat], ["doc_id", "mark", "n_shingles", "digest", "registers", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    out = rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>")
-    return stored(spark, out, "sketches")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
+    out = rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, registers binary, bands array<long>")
+    return stored(spark, out, "sketches", rows=docs.count(), per_file=TEXTS_PER_FILE)
 
 
-def buckets(spark: SparkSession, classes: DataFrame) -> DataFrame:
+def buckets(spark: SparkSession, classes: DataFrame, n: int) -> DataFrame:
     """bucket, rep, m (its members): every bucket of two classes or more, equal buckets once."""
     keyed = classes.select("rep", F.explode("bands").alias("bucket"))
     shape = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("rep")).alias("x"))
     once = shape.where("m > 1").groupBy("m", "s", "x").agg(F.min("bucket").alias("bucket"))
-    return stored(spark, keyed.join(once.select("bucket", "m"), "bucket"), "buckets")
+    return stored(spark, keyed.join(once.select("bucket", "m"), "bucket"), "buckets", rows=hm.BANDS * n)
 
 
 def grouped(members: DataFrame, details: DataFrame, blocks: Column) -> DataFrame:
@@ -235,7 +237,7 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, id_col: str,
 
     ids = _small(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(ids, "rep", "left_semi")
-    return stored(spark, rows.mapInArrow(run, "rep long, shingles binary"), "full-sets")
+    return stored(spark, rows.mapInArrow(run, "rep long, shingles binary"), "full-sets", rows=docs.count(), per_file=TEXTS_PER_FILE)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,49 +259,62 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, mark (a hash of the text) for each row of ``docs``."""
     ship(spark)
     marks = sketches(spark, docs, id_col, text_col, words)
     # binary and array values move as the struct of the least id, so classes combine before the exchange
     one = F.min(F.struct("doc_id", "n_shingles", "registers", "bands")).alias("c")
     classes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(one).select("digest", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.registers", "c.bands")
-    classes = stored(spark, classes, "classes")
-    members = buckets(spark, classes)
+    n_docs = marks.count()
+    classes = stored(spark, classes, "classes", rows=n_docs, per_file=8 * TEXTS_PER_FILE)
+    n = classes.count()
+    members = buckets(spark, classes, n)
     sketch = classes.select("rep", F.col("n_shingles").alias("n"), "registers")
     alone = members.withColumn("comp", F.col("rep"))
-    pairs = stored(spark, grouped(alone, sketch, F.ceil(F.col("m") / block)).mapInArrow(by_group(percent, False), "a long, b long").distinct(), "pairs")
+    found = grouped(alone, sketch, F.ceil(F.col("m") / block)).mapInArrow(by_group(percent, False), "a long, b long").distinct()
+    pairs = stored(spark, found, "pairs", rows=hm.BANDS * n)
+    n_pairs = pairs.count()
     # a document without any likely pair is in no set, and its buckets need no second look
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = full_sets(spark, docs, ids, id_col, text_col, words)
-    links = stored(spark, verified(pairs, sets, percent), "links")
-    now = components(spark, links)
+    links = stored(spark, verified(pairs, sets, percent), "links", rows=n_pairs)
+    now = components(spark, links, rows=n_pairs)
     left = members.join(ids.join(sketch.select("rep", "n"), "rep"), "rep").join(now.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").withColumn("comp", F.coalesce("root", "rep"))
     shape = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("lo <> hi")
     rows = left.select("bucket", "rep", "comp").join(shape, "bucket")
     parts = F.ceil(F.greatest(F.col("k") / block, F.col("shingles") * 8 / BLOCK_BYTES))
-    more = stored(spark, grouped(rows, sketch.join(sets, "rep"), parts).mapInArrow(by_group(percent, True), "a long, b long").distinct(), "links")
-    stars_now = components(spark, now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(more)) if not more.isEmpty() else now
+    more = stored(spark, grouped(rows, sketch.join(sets, "rep"), parts).mapInArrow(by_group(percent, True), "a long, b long").distinct(), "links", rows=hm.BANDS * n)
+    n_more = more.count()
+    stars_now = components(spark, now.select(F.col("u").alias("a"), F.col("v").alias("b")).union(more), rows=n + n_more) if n_more else now
     for done in (members, pairs, sets, links, more):
         drop_stored(spark, done)
     roots = classes.select("digest", "rep").join(stars_now.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    rows = marks.select("doc_id", "n_shingles", "digest")
-    out = rows.where("digest is not null").join(roots, "digest", "left").select("doc_id", "n_shingles", "root")
-    out = out.unionAll(rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("root")))
+    rows = marks.select("doc_id", "mark", "n_shingles", "digest")
+    out = rows.where("digest is not null").join(roots, "digest", "left").select("doc_id", "mark", "n_shingles", "root")
+    out = out.unionAll(rows.where("digest is null").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("root")))
     root = F.when(F.col("doc_id").isNotNull(), F.col("root"))
-    return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"), "mark")
+    return few_files(out, n_docs, 8 * TEXTS_PER_FILE)
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component; of rows that repeat a kept id, one."""
-    found = stored(spark, near_duplicates(spark, docs, id_col=id_col, **options).where("doc_id is not null"), "near-verdicts")
+def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose document is the least of its component.
+
+    Rows that repeat an id are judged each by its own text; of those that stay, the
+    one with the least hash of its text does, and of equal texts the first row by all columns.
+    """
+    found = stored(spark, near_duplicates(spark, docs, id_col=id_col, text_col=text_col, **options).where("doc_id is not null"), "near-verdicts")
+    of_id = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("kept"), F.col("mark"))).alias("mark"))
     without = lambda rows, ids, how: rows.join(ids.select(F.col("doc_id").alias("_n_id")), F.col(id_col) == F.col("_n_id"), how)
-    dropped = _small(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
-    rest = without(docs, dropped, "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    rest = without(docs, _small(of_id.where("not kept")), "left_anti")
+    repeated = of_id.where("kept and n > 1")
     if repeated.isEmpty():
         return rest
-    repeated = _small(repeated)
-    return without(rest, repeated, "left_anti").unionAll(without(rest, repeated, "left_semi").dropDuplicates([id_col]))
+    repeated = _small(repeated.select("doc_id", F.col("mark").alias("_n_mark")))
+    alone = without(rest, repeated, "left_anti")
+    marked = rest.withColumn("_n_hash", F.xxhash64(F.col(text_col).cast("binary"))).join(repeated.withColumnRenamed("doc_id", "_n_id"), (F.col(id_col) == F.col("_n_id")) & (F.col("_n_hash") == F.col("_n_mark")))
+    row = F.struct(*docs.columns)
+    return alone.unionAll(marked.groupBy("_n_id").agg(F.min_by(row, F.to_json(row)).alias("_n_row")).select("_n_row.*"))
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -168,6 +168,35 @@ def write_ids(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", t
     return stored(spark, segments, "planes", maxRecordsPerFile=SEGMENTS_PER_FILE)
 
 
+def export_files(spark: SparkSession, segments: DataFrame, folder: str) -> DataFrame:
+    """path, n_ids: each segment as a file ``<part>-<seq>.pln`` of its own, in the order of their names; a store that pyarrow reaches.
+
+    A file is written under another name and moved, so it is whole or not there, and a task that runs twice writes the same files.
+    """
+    import posixpath
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where.create_dir(root, recursive=True)
+        for batch in batches:
+            paths = []
+            for part, seq, image in zip(*(batch.column(c) for c in ("part", "seq", "image")), strict=True):
+                final = posixpath.join(root, f"{part.as_py():06d}-{seq.as_py():06d}.pln")
+                held = f"{final}.{TaskContext.get().taskAttemptId()}.part"
+                with where.open_output_stream(held) as f:
+                    f.write(image.as_buffer())
+                where.move(held, final)
+                paths.append(final)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), batch.column("n_ids")], ["path", "n_ids"])
+
+    return segments.mapInArrow(run, "path string, n_ids long")
+
+
 def read_documents(spark: SparkSession, segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     import pyarrow as pa

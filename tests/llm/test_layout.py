@@ -113,8 +113,9 @@ def test_more_sources_than_the_driver_takes(spark, monkeypatch):
 
 def test_mix_gives_the_words_it_plans(spark):
     docs = odd_documents(spark)
-    out = mixing.mix(spark, docs)
+    out = mixing.mix(spark, docs, ordered=True)
     assert out.columns == docs.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(spark, docs).collect()))
     words = Counter()
     for r in out.collect():
         words[r.source] += len(WORD.findall(r.text))
@@ -265,6 +266,17 @@ def test_damaged_plane_file():
         planes.Segment(bytes(image[:-1]))
 
 
+def test_exported_files(spark, tmp_path):
+    segments = planes.write_ids(spark, odd_documents(spark), segment_ids=500, width=1)
+    files = planes.export_files(spark, segments, str(tmp_path / "out")).collect()
+    found = sorted((tmp_path / "out").iterdir())
+    assert [str(f) for f in found] == sorted(r.path for r in files) and len(found) > 3
+    read = [planes.Segment(f.read_bytes()) for f in found]
+    docs = [(d, ids.tolist()) for s in read for d, ids in zip(s.doc_ids, np.split(s.ids(), np.cumsum(s.counts)[:-1]), strict=True)]
+    assert Counter((d, tuple(x)) for d, x in docs) == Counter((d, tuple(ids_of(t).tolist())) for d, t, _, _ in ROWS)
+    assert [d for d, _ in docs if d is not None] == sorted(d for d, _ in docs if d is not None)
+
+
 def test_token_files(spark):
     segments = planes.write_ids(spark, odd_documents(spark), segment_ids=500)
     rows = planes.read_documents(spark, segments).orderBy("start").collect()
