@@ -34,7 +34,7 @@ SHARDS = 16
 SEED = 20_240_607
 #: Records of a bucket, and bytes of its texts: both stay well inside a task's memory.
 BUCKET_ROWS = 16_384
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Beyond this many buckets their starts are joined, not broadcast (16 bytes each).
 BROADCAST_BUCKETS = 1_000_000
 
