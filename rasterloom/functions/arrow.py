@@ -30,7 +30,7 @@ def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one:
 
     ship(df.sparkSession)
     schema = df.select(*keys).schema
-    for f in df.sparkSession.createDataFrame([], outputs).schema:
+    for f in T.StructType.fromDDL(outputs):
         schema = schema.add(f)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -85,7 +85,7 @@ def decode_images(df: DataFrame, keys: list[str], content: str = "content") -> D
 
 def map_images(df: DataFrame, keys: list[str], function: Callable, outputs: str, content: str = "content") -> DataFrame:
     """keys, what ``function(image) -> tuple`` makes of each decoded image, reason: only that leaves the worker, not the pixels."""
-    n = len(df.sparkSession.createDataFrame([], outputs).schema)
+    n = len(T.StructType.fromDDL(outputs))
 
     def rows(taken):
         return [(None,) * n + (x.reason,) if isinstance(x, container.Damaged) else (*function(x), None) for x in container.decode_many([c for (c,) in taken])]

@@ -20,9 +20,14 @@ def split_channels(df: DataFrame, samples: str = "samples") -> DataFrame:
 
 
 def interleave(df: DataFrame) -> DataFrame:
-    """image_id, samples: all values of an image in (i, ch) order."""
-    rows = df.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("i", "ch", "v"))).alias("s"))
-    return rows.select("image_id", F.transform("s", lambda x: x["v"]).alias("samples"))
+    """image_id, samples: all values of an image in (i, ch) order.
+
+    Blocks of pixels are ordered where they are; an image then puts its blocks together, without ordering a sample.
+    """
+    rows = df.groupBy("image_id", F.floor(F.col("i") / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("i", "ch", "v"))).alias("s"))
+    blocks = rows.select("image_id", F.struct("b", F.transform("s", lambda x: x["v"]).alias("s")).alias("block"))
+    whole = blocks.groupBy("image_id").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    return whole.select("image_id", F.flatten(F.transform("blocks", lambda x: x["s"])).alias("samples"))
 
 
 def as_bytes(samples: Column, bpp: int = 8) -> Column:

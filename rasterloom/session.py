@@ -57,6 +57,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from rows of the driver, by Arrow: rows as Python objects would need Python workers on the executors."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kinds = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kinds)
+    columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), kinds)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Have the executors return heap that an earlier stage made them take: a full collection lets the JVM shrink it.
+
+    Worth a second between stages of a pipeline that share executors with Python workers; it changes no result.
+    """
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def few_files(df: DataFrame, rows: int, per_file: int) -> DataFrame:
     """``df``, which has about ``rows`` rows at most, in no more partitions than that many rows need: small tables become few files."""
     return df.coalesce(max(1, -(-rows // per_file)))
