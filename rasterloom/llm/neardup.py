@@ -43,8 +43,8 @@ MARGIN = 4.0
 SMALL = 64
 #: Members of a block; a group is two blocks.
 BLOCK = 1024
-#: Bytes of full sets in a block, about.
-BLOCK_BYTES = 16 << 20
+#: Bytes of full sets in a block, about; a task holds some ten times that.
+BLOCK_BYTES = 6 << 20
 #: Texts that a task works on at least, where there are as many.
 TEXTS_PER_FILE = 2048
 #: Candidate ids are broadcast to the scan of the texts up to this many (8 bytes each).
@@ -120,64 +120,83 @@ class Group:
         ok = estimate >= np.minimum(self.low[i], self.low[j])
         return i[ok], j[ok], estimate[ok]
 
-    def all_likely(self, apart: bool) -> tuple[np.ndarray, ...]:
-        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    def chunks(self, apart: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """i, j, estimate of the likely pairs, some rows of i at a time."""
         for i0 in range(0, len(self.n) - 1, 64):
             equal = (self.regs[i0 : i0 + 64, None, :] == self.regs[None, i0 + 1 :, :]).sum(axis=2, dtype=np.int32)
             i, j = np.nonzero(equal >= np.minimum(self.low[i0 : i0 + 64, None], self.low[None, i0 + 1 :]) * hm.REGISTERS)
             ahead = j >= i
             i, j = i[ahead], j[ahead]
-            found.append(self.likely(i + i0, j + i0 + 1, equal[i, j], apart))
+            i, j, estimate = self.likely(i + i0, j + i0 + 1, equal[i, j], apart)
+            yield i.astype(np.int32), j.astype(np.int32), estimate.astype(np.float32)
+
+    def all_likely(self, apart: bool) -> tuple[np.ndarray, ...]:
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)), *self.chunks(apart)]
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the likely links, the likeliest first."""
         i, j, estimate = self.all_likely(False)
-        root = list(range(len(self.n)))
-        kept = []
-        for k in np.argsort(-estimate, kind="stable").tolist():
-            x, y = int(i[k]), int(j[k])
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            while root[y] != y:
-                root[y] = y = root[root[y]]
-            if x != y:
-                root[y] = x
-                kept.append(k)
-                if len(kept) == len(root) - 1:
-                    break
-        return self.rep[i[kept]], self.rep[j[kept]]
+        order = np.argsort(-estimate, kind="stable")
+        kept = spanning(len(self.n), i[order], j[order])
+        return self.rep[i[order][kept]], self.rep[j[order][kept]]
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Stars of the components that exact links between earlier components make."""
-        i, j, _ = self.all_likely(True)
-        if not len(i):
+        """Exact links between earlier components, of which some would connect what these connect already."""
+        if len(np.unique(self.comp)) < 2:
             return self.rep[:0], self.rep[:0]
-        m = len(self.n)
-        size = np.array([len(s) for s in self.sets])
-        # a document of a rarer component looks its shingles up for all its partners at once
-        weight = np.bincount(np.unique(self.comp, return_inverse=True)[1])[np.unique(self.comp, return_inverse=True)[1]]
-        swap = weight[i] > weight[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        m, size = len(self.n), np.array([len(s) for s in self.sets])
         number, term = np.unique(np.concatenate(self.sets), return_inverse=True)
-        owner = np.repeat(np.arange(m), size)[np.argsort(term, kind="stable")]
+        owner = np.repeat(np.arange(m, dtype=np.int32), size)[np.argsort(term, kind="stable")]
         ends = np.cumsum(np.bincount(term, minlength=len(number)))
         many = np.diff(ends, prepend=0)
         first = np.cumsum(size) - size
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        good = np.zeros(len(i), bool)
-        edge = np.append(np.flatnonzero(np.append(True, np.diff(i) != 0)), len(i))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            x = i[a]
-            t = term[first[x] : first[x] + size[x]]
-            long = many[t]
-            places = np.repeat(ends[t] - np.cumsum(long), long) + np.arange(long.sum())
-            both = np.bincount(owner[places], minlength=m)[j[a:b]]
-            good[a:b] = 100 * both >= self.percent * (size[x] + size[j[a:b]] - both)
-        label = stars(m, i[good], j[good])
-        joined = np.flatnonzero(label != np.arange(m))
-        return self.rep[joined], self.rep[label[joined]]
+        label = np.unique(self.comp, return_inverse=True)[1]
+        # a document of a rarer component looks its shingles up for all its partners at once
+        weight = np.bincount(label)[label]
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+        for i, j, _ in self.chunks(True):
+            open_ = label[i] != label[j]  # what is in one component by now needs no check
+            i, j = i[open_], j[open_]
+            swap = weight[i] > weight[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            good = np.zeros(len(i), bool)
+            edge = np.append(np.flatnonzero(np.append(True, np.diff(i) != 0)), len(i)) if len(i) else [0]
+            for a, b in zip(list(edge[:-1]), list(edge[1:]), strict=True):
+                x = i[a]
+                t = term[first[x] : first[x] + size[x]]
+                long = many[t]
+                places = np.repeat(ends[t] - np.cumsum(long), long) + np.arange(long.sum())
+                both = np.bincount(owner[places], minlength=m)[j[a:b]]
+                good[a:b] = 100 * both >= self.percent * (size[x] + size[j[a:b]] - both)
+            if good.any():
+                i, j = i[good], j[good]
+                new = spanning(len(label), label[i], label[j])
+                found.append((i[new], j[new]))
+                label = stars(len(label), label[i], label[j])[label]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return self.rep[i], self.rep[j]
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray, some: int = 1 << 16) -> np.ndarray:
+    """Places of edges that make a spanning forest of n nodes, earlier edges first: each component takes its first edge, over and over."""
+    label, kept = np.arange(n), [np.zeros(0, int)]
+    for k in range(0, len(i), some):
+        a, b = i[k : k + some], j[k : k + some]
+        while True:
+            x, y = label[a], label[b]
+            left = np.flatnonzero(x != y)
+            if not len(left):
+                break
+            best = np.full(n, len(a))
+            np.minimum.at(best, x[left], left)
+            np.minimum.at(best, y[left], left)
+            new = np.unique(best[best < len(a)])
+            kept.append(new + k)
+            label = stars(n, x[new], y[new])[label]
+    return np.concatenate(kept)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray):

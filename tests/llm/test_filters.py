@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rasterloom.llm import hyperminhash as hm
 from rasterloom.llm import licenses, neardup, quality, toxicity, weaklabel
+from rasterloom.llm.graph import stars
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +164,15 @@ def test_one_large_group(spark):
     assert sum(r.kept for r in got) <= 3 and set(want.values()) == {0}
 
 
+def test_spanning_forest():
+    r = np.random.default_rng(8)
+    for n, m in ((1, 0), (5, 3), (40, 30), (200, 5000)):
+        i, j = r.integers(0, n, m), r.integers(0, n, m)
+        kept = neardup.spanning(n, i, j, some=64)
+        assert (stars(n, i[kept], j[kept]) == stars(n, i, j)).all()
+        assert len(kept) == n - len(set(stars(n, i, j).tolist()))  # no edge too many
+
+
 def test_estimates():
     r = np.random.default_rng(2)
     for n, share in ((12, 0.5), (300, 0.8), (20_000, 0.3)):
