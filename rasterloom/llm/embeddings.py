@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.graph import components, stars
-from rasterloom.session import drop_stored, ship, stored
+from rasterloom.session import drop_stored, local_table, ship, stored
 
 LIMIT = 0.9
 #: Classes that train the index, at most, and lists at most: about the root of the number of classes.
@@ -349,7 +349,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_
     found = [_links(spark, classes.where(F.col("dims") == r.dims), r.dims, r.n, limit, block) for r in lengths[:INDEXED_LENGTHS]]
     if len(lengths) > INDEXED_LENGTHS:
         found.append(_plain_links(spark, classes.where(~F.col("dims").isin([r.dims for r in lengths[:INDEXED_LENGTHS]])), limit, block))
-    links = spark.createDataFrame([], "a long, b long, links long")
+    links = local_table(spark, [], "a long, b long, links long")
     for f in found:
         links = links.unionAll(f)
     roots = components(spark, links.where("b is not null"))

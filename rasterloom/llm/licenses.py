@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.words import word_count
-from rasterloom.session import stored
+from rasterloom.session import local_table, stored
 
 # Public licence texts, notices and titles.
 _WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -117,6 +117,8 @@ WINDOW = 8
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|copyright)([.-].*)?$"
 #: Least cosine of a match; least share of a text's words in statements to make it a licence file.
 LEAST_COSINE, FILE_SHARE = 0.6, 0.3
+#: Licensed folders are broadcast up to this many (some 100 bytes each).
+BROADCAST_FOLDERS = 200_000
 #: Weight of an identifier: above that of any text.
 NAMED = 1e9
 
@@ -207,7 +209,7 @@ def _named(path: str) -> Column:
 
 def classified(spark: SparkSession, counted: DataFrame, frequency: DataFrame, total: int) -> DataFrame:
     """key, license, cosine, weight (length along the template) for each distinct statement (key, line) that matches a template."""
-    templates = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, line string")
+    templates = local_table(spark, [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], "template int, license string, line string")
     by_token = counted.select("key", F.explode(tokens_of(F.col("line"))).alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1
     weighed = by_token.join(frequency, "token", "left").select("key", "token", (F.col("tf") * idf).alias("w"))
@@ -253,6 +255,8 @@ def scan(spark: SparkSession, files: DataFrame, *, path: Column, text_col: str =
     steps = F.split("directory", "/")
     above = rows.where("directory is not null").select("directory").distinct().withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(steps))))
     above = above.withColumn("ancestor", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
+    # a top folder is the ancestor of all: its side is one row, and is broadcast where the table of them is small
+    licensed = F.broadcast(licensed) if licensed.count() <= BROADCAST_FOLDERS else licensed
     nearest = above.join(licensed, "ancestor").groupBy("directory").agg(F.max(F.struct("depth", "ancestor", "dir_license")).alias("up"))
     out = rows.join(nearest, "directory", "left")
     inherits = F.col("own_license").isNull()

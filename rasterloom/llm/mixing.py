@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.prefix import starts
 from rasterloom.llm.words import word_array, word_count
-from rasterloom.session import stored
+from rasterloom.session import local_table, stored
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -80,7 +80,7 @@ def source_targets(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, budge
     w = [weights[i % len(weights)] for i in range(len(totals))]
     target = water_fill(sizes, w, sum(sizes) * budget_percent / 100, max_epochs)
     rows = [(r.source, r.source_size, r.source_rows, t) for r, t in zip(totals, target, strict=True)]
-    return F.broadcast(spark.createDataFrame(rows, "source string, source_size long, source_rows long, target double"))
+    return F.broadcast(local_table(spark, rows, "source string, source_size long, source_rows long, target double"))
 
 
 def _targets_by_table(totals: DataFrame, weights, budget_percent: int, max_epochs: int) -> DataFrame:
@@ -172,8 +172,8 @@ def mix_rows(plan: DataFrame) -> DataFrame:
     )
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: a row of ``docs`` for each pass, sorted by virtual finish time.
+def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ordered: bool = False) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each pass; ordered: sorted by virtual finish time, which moves the texts once more.
 
     A pass that the budget cuts short keeps the leading words of the text, joined
     by single spaces; whole passes keep the text as it is. Documents without
@@ -192,5 +192,6 @@ def mix(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     rows = rows.withColumn("_m_words", F.least(F.col("_m_size"), F.col("_m_mine") - F.col("_m_size") * F.col("_m_pass"))).where("_m_words > 0")
     cut = F.array_join(F.slice(word_array(F.col(text_col)), 1, F.col("_m_words").cast("int")), " ")
     rows = rows.withColumn(text_col, F.when(F.col("_m_words") < F.col("_m_size"), cut).otherwise(F.col(text_col)))
-    rows = rows.withColumn("_m_at", F.col("_m_finish") + F.col("_m_pass") * F.col("_m_round"))
-    return rows.orderBy("_m_at", id_col).select(*docs.columns)
+    if ordered:
+        rows = rows.orderBy(F.col("_m_finish") + F.col("_m_pass") * F.col("_m_round"), id_col)
+    return rows.select(*docs.columns)

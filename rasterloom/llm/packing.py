@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import tokens
-from rasterloom.session import ship, stored
+from rasterloom.session import local_table, ship, stored
 
 LENGTH = 2048
 #: Windows of a block: LENGTH * BLOCK squared stays below 2**63; numbers in a block's table, at most about.
@@ -170,7 +170,7 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, so
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return stored(spark, rows.mapInArrow(encode, "part int, doc_id long, source string, first long, n long, ids binary"), "packing-ids")
+    return stored(spark, rows.mapInArrow(encode, "part int, doc_id long, source string, first long, n long, ids binary"), "packing-ids", rows=docs.count(), per_file=2048)
 
 
 def queues_of(spark: SparkSession, per_task: DataFrame, weights: Mapping[str | None, float] | None) -> tuple[DataFrame, list[int], list[float] | None]:
@@ -178,7 +178,7 @@ def queues_of(spark: SparkSession, per_task: DataFrame, weights: Mapping[str | N
     per_source = per_task.groupBy("source").agg(F.sum("n").alias("n"))
     named = per_source.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(QUEUES).collect()
     named.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    number = spark.createDataFrame([(r.source, k) for k, r in enumerate(named)], "_q_source string, queue int")
+    number = local_table(spark, [(r.source, k) for k, r in enumerate(named)], "_q_source string, queue int")
     rows = per_task.join(F.broadcast(number), F.col("source").eqNullSafe(F.col("_q_source")), "left")  # QUEUES rows at most
     shared = F.lit(len(named)) + F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int")
     rows = rows.select("part", "source", "n", F.coalesce("queue", shared).alias("queue"))

@@ -37,7 +37,7 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=4)
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
 from rasterloom.llm import bytescan
+from rasterloom.llm.held import held
 
 #: Closes every document.
 END_ID = 1
@@ -211,10 +211,9 @@ def vocabulary_type(path: str) -> str:
     return id_type(Tokenizer.from_file(path).get_vocab_size())
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """This worker's encoder; it outlives a task when workers are reused."""
-    return Encoder(path)
+    return held("encoder", path, lambda: Encoder(path))
 
 
 def runs(column, most: int = RUN_BYTES) -> Iterator[tuple[int, object]]:

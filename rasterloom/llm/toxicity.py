@@ -22,7 +22,6 @@ carried by :func:`reject`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import linear
+from rasterloom.llm.held import held
 from rasterloom.session import ship
 
 #: Labelled rows that training takes, at most.
@@ -126,12 +126,14 @@ def score(spark: SparkSession, docs: DataFrame, model: Chain, *, id_col: str = "
     return rows.mapInArrow(_scoring(model, ["doc_id"]), f"doc_id {kind}, " + ", ".join(f"p_{n} double" for n in model.names) + ", rejected boolean")
 
 
-@lru_cache(maxsize=1)
 def _scorer(key: bytes):
     import pickle
 
-    chain = pickle.loads(key)
-    return chain, linear.Scorer(chain.models)
+    def make():
+        chain = pickle.loads(key)
+        return chain, linear.Scorer(chain.models)
+
+    return held("toxicity", key, make)
 
 
 def _scoring(model: Chain, carry: list[str]):

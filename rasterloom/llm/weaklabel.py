@@ -19,15 +19,15 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import bytescan, linear
+from rasterloom.llm.held import held
 from rasterloom.llm.toxicity import bounded, training_rows
-from rasterloom.session import ship
+from rasterloom.session import local_table, ship
 
 #: Documents that train the scorer, at most.
 SAMPLE = 12_000
@@ -176,7 +176,7 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     patterns = np.array([votes_of(r.code) for r in table], int).reshape(-1, len(NAMES))
     model = expectation_maximisation(patterns, np.array([r.n for r in table], float))
     good = model.posterior(patterns) if len(table) else np.zeros(0)
-    posteriors = spark.createDataFrame([(r.code, float(p)) for r, p in zip(table, good, strict=True)], "code int, good double")
+    posteriors = local_table(spark, [(r.code, float(p)) for r, p in zip(table, good, strict=True)], "code int, good double")
     # only the sample's texts are voted on again
     ids = F.broadcast(bounded(rows.where("doc_id is not null").select("doc_id").distinct(), sample).withColumnRenamed("doc_id", "_s_id"))
     again = rows.join(ids, F.col("doc_id") == F.col("_s_id"), "left_semi").mapInArrow(run, f"doc_id {kind}, code int")
@@ -185,13 +185,15 @@ def fit(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_co
     return model, linear.fit(features, values[:, 0])
 
 
-@lru_cache(maxsize=1)
 def _scorer(key: bytes):
     import pickle
 
-    label_model, model = pickle.loads(key)
-    codes = np.array([votes_of(c) for c in range(3 ** len(NAMES))])
-    return linear.Scorer([model]), label_model.posterior(codes)
+    def make():
+        label_model, model = pickle.loads(key)
+        codes = np.array([votes_of(c) for c in range(3 ** len(NAMES))])
+        return linear.Scorer([model]), label_model.posterior(codes)
+
+    return held("weak labels", key, make)
 
 
 def score(spark: SparkSession, docs: DataFrame, label_model: LabelModel, model: linear.Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

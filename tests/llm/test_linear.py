@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from odd import ROWS, prose
 
 from rasterloom.llm import bytescan, linear, weaklabel
+from rasterloom.llm.held import held
 
 TEXTS = [t for _, t, _, _ in ROWS] + ["ÄPFEL Äpfel äpfel!! ÀÉ ñ", "!! ## a. B?", "x" * 300, "word " * 500, "\n\n", "one\ntwo\none\n \none", "日本 日本 ok"]
 ALPHABET = st.one_of(st.sampled_from("abAB .,!?#\n\t09ÄäßÉé×日"), st.characters(exclude_categories=("Cs",)))
@@ -130,3 +131,11 @@ def test_a_very_long_text_without_white_space():
     got = linear.Scorer([linear.Model({}, np.zeros(0), 0.25)]).logits(pa.array([text, "short", text]))
     assert got[:, 0].tolist() == [0.25] * 3
     assert weaklabel.votes(pa.array([text])).shape == (1, 9)
+
+
+def test_a_worker_keeps_one_thing():
+    made = []
+    first = held("a", 1, lambda: made.append(1) or object())
+    assert held("a", 1, lambda: made.append(2) or object()) is first
+    held("b", 1, object)
+    assert held("a", 1, lambda: made.append(3) or object()) is not first and made == [1, 3]
