@@ -73,8 +73,8 @@ def sketches(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary()), flat], ["doc_id", "mark", "n_shingles", "digest", "registers", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
-    out = rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, registers binary, bands array<long>")
-    return stored(spark, out, "sketches", rows=docs.count(), per_file=TEXTS_PER_FILE)
+    rows = few_files(rows, docs.count(), TEXTS_PER_FILE)
+    return stored(spark, rows.mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, registers binary, bands array<long>"), "sketches")
 
 
 def buckets(spark: SparkSession, classes: DataFrame, n: int) -> DataFrame:
@@ -256,7 +256,7 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, id_col: str,
 
     ids = _small(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(ids, "rep", "left_semi")
-    return stored(spark, rows.mapInArrow(run, "rep long, shingles binary"), "full-sets", rows=docs.count(), per_file=TEXTS_PER_FILE)
+    return stored(spark, few_files(rows, docs.count(), TEXTS_PER_FILE).mapInArrow(run, "rep long, shingles binary"), "full-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -41,13 +41,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import tokens
-from rasterloom.session import local_table, ship, stored
+from rasterloom.session import few_files, local_table, ship, stored
 
 LENGTH = 2048
 #: Windows of a block: LENGTH * BLOCK squared stays below 2**63; numbers in a block's table, at most about.
 BLOCK, TABLE = 4096, 1 << 18
 #: The largest sources have queues of their own, others share queues.
 QUEUES, SHARED = 1000, 24
+#: Texts that a task encodes at least, where there are as many.
+TEXTS_PER_FILE = 2048
 #: (task, source) places are broadcast up to this many (about 32 bytes each).
 BROADCAST_PLACES = 1_000_000
 
@@ -170,7 +172,8 @@ def encoded(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, so
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return stored(spark, rows.mapInArrow(encode, "part int, doc_id long, source string, first long, n long, ids binary"), "packing-ids", rows=docs.count(), per_file=2048)
+    rows = few_files(rows, docs.count(), TEXTS_PER_FILE)  # before the stage: a partition's number must be that of one run of it
+    return stored(spark, rows.mapInArrow(encode, "part int, doc_id long, source string, first long, n long, ids binary"), "packing-ids")
 
 
 def queues_of(spark: SparkSession, per_task: DataFrame, weights: Mapping[str | None, float] | None) -> tuple[DataFrame, list[int], list[float] | None]:

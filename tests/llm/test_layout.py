@@ -208,6 +208,10 @@ def test_pack(spark):
     assert got == want
     single = [r for r in rows if r.doc_id == 2]
     assert b"".join(bytes(r.ids) for r in sorted(single, key=lambda r: r.start)) == ids_of(ROWS[4][1]).tobytes()
+    for parts in (1, 9):  # however the rows lie
+        again = packing.pack(spark, odd_documents(spark).repartition(parts)).collect()
+        seen = Counter((r.sequence_id, r.offset + k) for r in again for k in range(r.length))
+        assert set(seen.values()) == {1} and len(seen) == sum(want.values())
     assert packing.pack(spark, no_documents(spark)).collect() == []
 
 
