@@ -79,7 +79,10 @@ def give_back(spark: SparkSession) -> None:
 
 
 def few_files(df: DataFrame, rows: int, per_file: int) -> DataFrame:
-    """``df``, which has about ``rows`` rows at most, in no more partitions than that many rows need: small tables become few files."""
+    """``df``, which has about ``rows`` rows at most, in no more partitions than that many rows need: small tables become few files.
+
+    A stage that counts within its partition must come after this, not before: joined partitions run it once each, under one number.
+    """
     return df.coalesce(max(1, -(-rows // per_file)))
 
 
