@@ -24,8 +24,11 @@ META = ("width", "height", "bpp", "channels", "bpp_internal", "ch_internal", "co
 META_SCHEMA = "width long, height long, bpp int, channels int, bpp_internal int, ch_internal int, configuration int"
 
 
-def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one: Callable | None = None, many: Callable | None = None) -> DataFrame:
-    """mapInArrow that applies ``one(values of a row) -> tuple of outputs``, or ``many`` to a list of rows, and carries ``keys``."""
+def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one: Callable | None = None, many: Callable | None = None, weigh: Callable | None = None) -> DataFrame:
+    """mapInArrow that applies ``one(values of a row) -> tuple of outputs``, or ``many`` to a list of rows, and carries ``keys``.
+
+    weigh: the bytes that a row's values become in ``many``; their own without it.
+    """
     import pyarrow as pa
 
     ship(df.sparkSession)
@@ -49,7 +52,7 @@ def _stage(df: DataFrame, keys: list[str], inputs: list[str], outputs: str, one:
             taken, heavy = [], 0
             for row in range(batch.num_rows):
                 taken.append([c[row].as_py() for c in columns])
-                heavy += sum(len(x) for x in taken[-1] if isinstance(x, bytes))
+                heavy += weigh(*taken[-1]) if weigh else sum(len(x) for x in taken[-1] if isinstance(x, bytes))
                 if len(taken) < (AT_ONCE if many else 1) and heavy < AT_ONCE_BYTES and row + 1 < batch.num_rows:
                     continue
                 done += many(taken) if many else [one(*x) for x in taken]
@@ -80,7 +83,7 @@ def _decode_rows(rows):
 
 def decode_images(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """keys, the seven metadata columns, pixels, reason (null where the container is sound)."""
-    return _stage(df, keys, [content], f"{META_SCHEMA}, pixels binary, reason string", many=_decode_rows)
+    return _stage(df, keys, [content], f"{META_SCHEMA}, pixels binary, reason string", many=_decode_rows, weigh=container.weight)
 
 
 def map_images(df: DataFrame, keys: list[str], function: Callable, outputs: str, content: str = "content") -> DataFrame:
@@ -90,7 +93,7 @@ def map_images(df: DataFrame, keys: list[str], function: Callable, outputs: str,
     def rows(taken):
         return [(None,) * n + (x.reason,) if isinstance(x, container.Damaged) else (*function(x), None) for x in container.decode_many([c for (c,) in taken])]
 
-    return _stage(df, keys, [content], f"{outputs}, reason string", many=rows)
+    return _stage(df, keys, [content], f"{outputs}, reason string", many=rows, weigh=container.weight)
 
 
 def _info_rows(rows):
@@ -108,7 +111,7 @@ def _peek_row(content):
 def info_images(df: DataFrame, keys: list[str], content: str = "content", verify: bool = True) -> DataFrame:
     """keys, the seven metadata columns, reason. verify=False decompresses no more than the header of each container."""
     outputs = f"{META_SCHEMA}, reason string"
-    return _stage(df, keys, [content], outputs, many=_info_rows) if verify else _stage(df, keys, [content], outputs, _peek_row)
+    return _stage(df, keys, [content], outputs, many=_info_rows, weigh=container.weight) if verify else _stage(df, keys, [content], outputs, _peek_row)
 
 
 def _header_row(content):

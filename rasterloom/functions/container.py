@@ -126,6 +126,14 @@ def _declared(data: bytes | None) -> int:
     return size
 
 
+def weight(data: bytes | None) -> int:
+    """Bytes of the payload that the container declares, 0 where it is not sound."""
+    try:
+        return _declared(data)
+    except Damaged:
+        return 0
+
+
 def payload(data: bytes | None) -> bytes:
     """The decompressed payload, of exactly the declared size."""
     import zstandard

@@ -12,6 +12,8 @@ import numpy as np
 # Fixed values of the checksum: start and multiplier of each of the four lanes.
 LANE_START = (0x12345678, 0x9ABCDEF0, 0xFEDCBA98, 0x87654321)
 LANE_FACTOR = (31, 37, 41, 43)
+#: Bytes that checksums take at once, about.
+GROUP_BYTES = 1 << 18
 
 
 def as_planes(pixels: bytes | np.ndarray, channels: int) -> np.ndarray:
@@ -186,9 +188,20 @@ class _Layout:
 
 def checksums(parts: list[bytes | np.ndarray]) -> list[int]:
     """The container's 32-bit checksum of each sequence: four lanes over bytes k, k+4, ..., folded together."""
-    if not parts:
-        return []
-    layout = _Layout([np.frombuffer(p, np.uint8) if not isinstance(p, np.ndarray) else p.reshape(-1) for p in parts])
+    out: list[int] = []
+    group: list[np.ndarray] = []
+    size = 0
+    for p in parts:  # in groups whose arrays stay in a processor's cache
+        group.append(np.frombuffer(p, np.uint8) if not isinstance(p, np.ndarray) else p.reshape(-1))
+        size += group[-1].size
+        if size >= GROUP_BYTES:
+            out += _checksums(group)
+            group, size = [], 0
+    return out + _checksums(group) if group else out
+
+
+def _checksums(parts: list[np.ndarray]) -> list[int]:
+    layout = _Layout(parts)
     h = [layout.lane(k, LANE_START[k], LANE_FACTOR[k]).astype(np.uint32) for k in range(4)]
     return ((h[0] ^ (h[1] >> np.uint32(3))) + (h[2] ^ (h[3] << np.uint32(5)))).tolist()
 
